@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
 
 
 def queries() -> dict:
     return {
+        "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_language_id": op10_language_id,
     }

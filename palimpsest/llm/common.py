@@ -200,3 +200,9 @@ def shingle_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
         out = mix(out * np.uint64(0x9DDFEA08EB382D69) + h[k : k + m])
     ok = doc[:m] == doc[n - 1 :]
     return out[ok], doc[:m][ok]
+
+
+def positional(docs: DataFrame, keep: tuple[str, ...] = ("text",)):
+    """``docs`` under names that clash with nothing, and the way back to its own columns."""
+    names = [c if c in keep else f"_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)

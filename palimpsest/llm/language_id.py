@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, positional
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
 TRAIN_DOCS_PER_LANG = 4000  # bound of the training sample, for each language
@@ -165,8 +165,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
 
 def accepted(docs: DataFrame, model, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a posterior of ``min_score`` at least."""
-    out = identify(docs, model)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    plain, back = positional(docs)
+    out = identify(plain, model)
+    return back(out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
