@@ -5,15 +5,19 @@ from __future__ import annotations
 from .decontaminate import op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
+from .mixing import OP9_SQL, op9_mixing
+from .packing import op8_packing
 
 
 def queries() -> dict:
     return {
         "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
+        "op9_mixing": op9_mixing,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
