@@ -6,11 +6,13 @@ from .decontaminate import op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
+from .ngram_join import op3_ngram_join
 from .packing import op8_packing
 
 
 def queries() -> dict:
     return {
+        "op3_ngram_join": op3_ngram_join,
         "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
