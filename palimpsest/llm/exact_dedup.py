@@ -76,7 +76,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route_bits: int
     rows = keyed.select(*key, F.sha2("b", 256).alias("text_sha256")).alias("r")
     same = (F.col("r.doc_id").eqNullSafe(F.col("i.doc_id"))) & (F.col("r.len") == F.col("i.len")) & (F.col("r.th") == F.col("i.th"))
     named = tmp.write(rows.join(ident.alias("i"), same).select("r.doc_id", "level", "name", "text_sha256"), "identities")
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below has an exchange on both sides and a large group can be split
+    groups = tmp.write(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
