@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
+from .language_model import op4_language_model
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
@@ -13,11 +16,13 @@ from .packing import op8_packing
 def queries() -> dict:
     return {
         "op3_ngram_join": op3_ngram_join,
+        "op4_language_model": op4_language_model,
         "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 

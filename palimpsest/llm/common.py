@@ -44,16 +44,12 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(self.clear)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write and read again; ``by``: columns whose values get a folder each."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df._scratch_path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
         try:
@@ -80,6 +76,36 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+FAN_IN = 64
+
+
+def sum_vectors(df: DataFrame, label: str) -> dict[int, np.ndarray]:
+    """Element-wise sums of int64 vectors: rows (part int, piece int, cells binary) -> {piece: sum}.
+
+    Vectors have a fixed length. They are summed in a tree of fan-in 64, so no task gets the
+    vectors of all parts; only one vector for each piece comes to the driver.
+    """
+
+    def total(t: pa.Table) -> pa.Table:
+        acc = None
+        for x in t.column("cells"):
+            v = np.frombuffer(x.as_py(), np.int64)
+            acc = v.copy() if acc is None else acc + v
+        return pa.table({"part": t.column("part")[:1], "piece": t.column("piece")[:1], "cells": pa.array([acc.tobytes()], pa.binary())})
+
+    tmp = Scratch(df.sparkSession, label)
+    level = tmp.write(df, "parts")
+    tasks = (level.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        level = tmp.write(level.withColumn("part", (F.col("part") % tasks).cast("int")).groupBy("part", "piece").applyInArrow(total, "part int, piece int, cells binary"), "sums")
+        if tasks == 1:
+            break
+    out = {r.piece: np.frombuffer(bytes(r.cells), np.int64) for r in level.collect()}
+    tmp.clear()
+    return out
+
+
 # ---------------------------------------------------------------- column helpers
 
 

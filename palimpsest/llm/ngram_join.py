@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, mix, positional, shingle_hashes, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, mix, positional, shingle_hashes, sum_vectors, text_slices, word_hashes
 from .components import components
 
-SKETCH_BITS, PIECES, FAN_IN = 20, 16, 64
+SKETCH_BITS, PIECES = 20, 16
 BITMAP_BYTES = 256
 BROADCAST_IDS = 500_000  # ids of candidates are broadcast up to this many, else joined by shuffle
 
@@ -87,29 +87,13 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         if wait:
             add()
         part = TaskContext.get().partitionId()
-        flat = np.minimum(acc, 2**31 - 1).astype(np.int32).reshape(PIECES, -1)
+        flat = acc.reshape(PIECES, -1)
         yield pa.RecordBatch.from_arrays([pa.array([part] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "piece", "cells"])
 
-    def total(t: pa.Table) -> pa.Table:
-        acc = np.zeros(2 * size // PIECES, np.int64)
-        for x in t.column("cells"):
-            acc += np.frombuffer(x.as_py(), np.int32)
-        return pa.table({"part": t.column("part")[:1], "piece": t.column("piece")[:1], "cells": pa.array([np.minimum(acc, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    schema = "part int, piece int, cells binary"
-    tmp = Scratch(docs.sparkSession, "sketch")
-    level = tmp.write(docs.select("text").mapInArrow(count, schema), "tasks")
-    tasks = (level.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        tasks = -(-tasks // FAN_IN)
-        level = tmp.write(level.withColumn("part", (F.col("part") % tasks).cast("int")).groupBy("part", "piece").applyInArrow(total, schema), "sums")
-        if tasks == 1:
-            break
-    got = {r.piece: np.frombuffer(bytes(r.cells), np.int32) for r in level.collect()}
-    tmp.clear()
+    got = sum_vectors(docs.select("text").mapInArrow(count, "part int, piece int, cells binary"), "sketch")
     if not got:
         return np.zeros((2, size), np.int32)
-    return np.concatenate([got[i] for i in range(PIECES)]).reshape(2, size)
+    return np.minimum(np.concatenate([got[i] for i in range(PIECES)]), 2**31 - 1).astype(np.int32).reshape(2, size)
 
 
 def _slack(size: int, percent: int) -> int:
@@ -280,7 +264,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with a null doc_id stay. Rows that repeat a kept doc_id stay with it.
     """
-    kept = link(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    tmp = Scratch(docs.sparkSession, "keepone")
+    kept = tmp.write(link(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
     plain, back = positional(docs, keep=("text", "doc_id"))
     return back(plain.filter("doc_id IS NULL").unionByName(plain.join(kept, plain["doc_id"] == kept["_keep"], "left_semi")))
 
