@@ -11,10 +11,12 @@ from .language_model import op4_language_model
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
+from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_language_model": op4_language_model,
         "op6_decontamination": op6_decontamination,
