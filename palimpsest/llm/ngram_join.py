@@ -33,7 +33,8 @@ from .common import LOWER_TABLE, Scratch, free_shuffles, mix, positional, shingl
 from .components import components
 
 SKETCH_BITS, PIECES = 20, 16
-BITMAP_BYTES = 256
+BITMAP_BYTES, ID_BITS = 256, 57
+BLOCK, BUCKET_ROWS = 1024, 20_000  # members of a star compared at once; rows of a task
 BROADCAST_IDS = 500_000  # ids of candidates are broadcast up to this many, else joined by shuffle
 
 
@@ -55,9 +56,9 @@ def _sets(data: np.ndarray, offs: np.ndarray, n: int):
 
 
 def _identities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit identity of each set, whatever the order of its members; at: borders of the sets."""
+    """57-bit identity of each set, whatever the order of its members; at: borders of the sets."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
-    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return (mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)).view(np.int64)
 
 
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +131,7 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: float | None =
     sketch = _sketch(docs, n)
     load = float(sketch[0].mean())
     frequent = load + 64 + 6 * math.sqrt(load + 1) if frequent is None else frequent  # above the noise of the sketch
+    noise = load + 4 * math.sqrt(load + 1)
     shared = spark.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -144,7 +146,10 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: float | None =
                 order = np.lexsort((h, est, d))
                 ordered, rare = h[order], est[order] <= frequent
                 at = np.searchsorted(d, np.arange(k + 1))
-                sids += _identities(h, at).tolist()
+                # the high bits order sets by their share of shared tokens: the least of near copies is the one they derive from
+                common = np.concatenate([[0], np.cumsum(est > noise)])
+                share = (common[at[1:]] - common[at[:-1]]) / np.maximum(np.diff(at), 1)
+                sids += (_identities(h, at) | ((63 - (63 * share).astype(np.int64)) << ID_BITS)).tolist()
                 size += np.diff(at).tolist()
                 cell = (mix(h) >> np.uint64(53)).astype(np.int64)  # 2048 bits
                 for i in range(k):
@@ -176,42 +181,90 @@ def _token_sets(docs: DataFrame, n: int) -> DataFrame:
             for _, data, offs in text_slices(b):
                 h, d = _sets(data, offs, n)
                 at = np.searchsorted(d, np.arange(len(offs)))
-                yield pa.RecordBatch.from_arrays([pa.array(_identities(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["sid", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(_identities(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "tokens"])
 
-    return docs.mapInArrow(run, "sid long, tokens array<long>")
+    return docs.mapInArrow(run, "id long, tokens array<long>")
 
 
-def _verify(pairs: DataFrame, table: DataFrame, docs: DataFrame, n: int, percent: int, tmp: Scratch) -> DataFrame:
-    """The pairs (a, b of sid) whose sets are similar: sizes, then parity bitmaps, then whole sets.
+def _near(size_a, size_b, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may be similar by their sizes and parity bitmaps.
 
-    The number of differing bits of two parity bitmaps is at most the size of the symmetric
-    difference, so a pair struck out by its bitmaps can't be similar.
+    The number of differing bits is at most the size of the symmetric difference, so a pair
+    struck out here can't be similar.
     """
-    info = table.groupBy("sid").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    info = tmp.write(info, "sets")
-    a, b = (info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]) for x in "ab")
-    sized = tmp.write(pairs.join(info.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "sized")
-    bitted = sized.join(a, F.col("a") == F.col("a_sid")).join(b, F.col("b") == F.col("b_sid"))
+    both = size_a + size_b
+    most = (both - np.bitwise_count(bits_a ^ bits_b).sum(axis=1).astype(np.int64)) // 2  # of the intersection
+    return 100 * most >= percent * (both - most)
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _sift(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps leave."""
+    a, b = (info.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def near(batches):
         for x in batches:
-            k = x.num_rows
-            pa_, pb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint64).reshape(k, -1) for i in (4, 5)) if k else (np.zeros((0, 1), np.uint64),) * 2
-            differ = np.bitwise_count(pa_ ^ pb).sum(axis=1).astype(np.int64) if k else np.zeros(0, np.int64)
-            both = np.asarray(x.column(2)).astype(np.int64) + np.asarray(x.column(3)).astype(np.int64)
-            most = (both - differ) // 2  # of the intersection
-            ok = 100 * most >= percent * (both - most)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in x.columns[:4]], names=["a", "b", "na", "nb"])
-
-    close = tmp.write(bitted.select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(near, "a long, b long, na int, nb int"), "close")
+            if x.num_rows:
+                na, nb = (np.asarray(x.column(i)).astype(np.int64) for i in (2, 3))
+                ok = pa.array(_near(na, nb, _bits(x.column(4)), _bits(x.column(5)), percent))
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
+
+    return sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+
+
+def _compare_stars(members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Pairs (a, b) of one star and different components that sizes and bitmaps leave.
+
+    ``members``: star, sid, root, n, bits. A star of more than BLOCK members is compared block
+    against block, each pair of blocks a unit of its own, so no task holds a whole star.
+    """
+    count = members.groupBy("star").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb"))
+    cut = members.join(count, "star").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    unit = cut.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "bits")
+    unit = unit.withColumn("bucket", F.pmod(F.xxhash64("star", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))))
+
+    def run(t: pa.Table) -> pa.Table:
+        star, i, j, own, sid, root, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("star", "i", "j", "own", "sid", "root", "n"))
+        bits = _bits(t.column("bits").combine_chunks())
+        order = np.lexsort((sid, j, i, star))
+        new = np.ones(len(order), bool)
+        for k, c in enumerate((star, i, j)):
+            c = c[order]
+            new[1:] = (c[1:] != c[:-1]) if k == 0 else new[1:] | (c[1:] != c[:-1])
+        at = np.append(np.flatnonzero(new), len(order))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            g = order[s:e]
+            left, right = g[own[g] == i[g[0]]], g[own[g] == j[g[0]]]
+            same = i[g[0]] == j[g[0]]
+            for k, x in enumerate(left.tolist()):
+                y = right[k + 1 :] if same else right
+                y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                if len(y):
+                    y = y[_near(n[y], n[x], bits[y], bits[x], percent)]
+                    out.append((np.full(len(y), sid[x]), sid[y]))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return unit.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def _verify(close: DataFrame, info: DataFrame, docs: DataFrame, n: int, percent: int, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    close = tmp.write(close, "close")
     ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     reps = tmp.write(info.join(ids, "sid", "left_semi").select("rep").distinct(), "reps")
     few = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["rep"]), "left_semi").select("text")
-    sets = tmp.write(_token_sets(texts, n).dropDuplicates(["sid"]), "tokens")
-    x, y = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return close.join(x, "a").join(y, "b").withColumn("i", both).filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    sets = tmp.write(_token_sets(texts, n).dropDuplicates(["id"]), "tokens")
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    x, y = (sets.select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
+    both = close.withColumns({"id_a": low("a"), "id_b": low("b")}).join(x, "id_a").join(y, "id_b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    return both.filter(100 * F.col("i") >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None = None) -> DataFrame:
@@ -224,9 +277,10 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     one node. Rows that repeat a doc_id get each their own text's component. Rows with a null
     doc_id take part; a component of such rows only has a null id.
 
-    Similar sets are first linked to the least set that shares a signature; only pairs from
-    different components that this leaves are then compared, so a large group of near copies
-    costs one comparison a member and signature, not one a pair.
+    Sets that share a signature form a star around the one with the most tokens in common
+    with the corpus, and are compared with it. What is left, members of one star in different
+    components, is compared by bitmaps in blocks of a star, once for all signatures of the
+    star; no pair is emitted before it has passed.
     """
     if not 60 <= percent <= 100:
         raise ValueError("percent must be 60 to 100")
@@ -234,23 +288,23 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     tmp = Scratch(spark, "ngramjoin")
     table = tmp.write(_signatures(docs, n, percent, frequent), "signatures")
     full = table.filter("n_shingles > 0")
+    info = tmp.write(full.groupBy("sid").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "sets")
     rows = full.select("sid", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter("first <> last").select("sig", "first")
-    index = tmp.write(rows.join(shared, "sig").distinct(), "index")
+    # written, so that the join has an exchange on both sides and a frequent signature can be split
+    shared = tmp.write(rows.groupBy("sig").agg(F.min("sid").alias("star"), F.max("sid").alias("last")).filter("star <> last").select("sig", "star"), "shared")
+    free_shuffles(spark)
+    star = tmp.write(rows.join(shared, "sig").select("star", "sid").distinct(), "stars")
     free_shuffles(spark)
-    star = index.filter("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    linked = tmp.write(_verify(star, full, docs, n, percent, tmp), "star")
+    pairs = star.filter("sid <> star").select(F.col("star").alias("a"), F.col("sid").alias("b"))
+    linked = tmp.write(_verify(_sift(pairs, info, percent), info, docs, n, percent, tmp), "linked")
     comp = tmp.write(components(linked, tmp), "comp")
     free_shuffles(spark)
-    placed = index.select("sig", "sid", "first").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    placed = tmp.write(placed, "placed")
-    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rest = tmp.write(placed.join(open_, "sig", "left_semi").select("sig", "sid", "root").join(full.select("sid", "n_shingles").distinct(), "sid"), "open")
-    l, r = rest.alias("l"), rest.alias("r")
-    sizes = (100 * F.least("l.n_shingles", "r.n_shingles")) >= percent * F.greatest("l.n_shingles", "r.n_shingles")
-    cross = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.root") != F.col("r.root")) & sizes)
-    cross = cross.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = tmp.write(_verify(cross, full, docs, n, percent, tmp), "cross")
+    placed = tmp.write(star.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+    # pairs with the star's centre are decided; the rest of a star is compared where its members lie in several components
+    open_ = tmp.write(placed.filter("sid <> star").groupBy("star").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("star"), "open")
+    members = tmp.write(placed.filter("sid <> star").join(open_, "star", "left_semi").join(info.select("sid", "n", "bits"), "sid"), "members")
+    cross = _compare_stars(members, percent, members.count()).distinct()
+    more = tmp.write(_verify(cross, info, docs, n, percent, tmp), "more")
     comp = tmp.write(components(linked.unionByName(more), tmp), "comp")
     member = full.select("key", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = tmp.write(member.groupBy("root").agg(F.min("key").alias("component_id")), "least")
