@@ -7,6 +7,7 @@ batch on an executor (numpy kernels over the raw UTF-8 buffer, no per-word objec
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -121,7 +122,46 @@ def held_out(c: Column, remainder: int, modulus: int = 5) -> Column:
 
 # ---------------------------------------------------------------- Arrow text buffers
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+
+
+def settle_memory() -> None:
+    """Give freed memory back to the system: workers are kept and would hold on to their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # arrays of a megabyte and more are mapped, and unmapped when freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, so that long texts don't make large ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        settle_memory()
+        yield from fn(batches)
+        settle_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def group_arrow(grouped, fn, schema) -> DataFrame:
+    """``applyInArrow`` of a group or cogroup, with memory given back after each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        settle_memory()
+        return out
+
+    def run_both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        settle_memory()
+        return out
+
+    return grouped.applyInArrow(run if fn.__code__.co_argcount == 1 else run_both, schema)
 
 
 def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES):

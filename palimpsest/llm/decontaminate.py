@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, positional, prefix_hash, range_hash, shingle_hashes, text_slices, word_spans
+from .common import LOWER_TABLE, map_arrow, positional, prefix_hash, range_hash, shingle_hashes, text_slices, word_spans
 
 WINDOW, MIN_ITEMS = 8, 2
 BLOCK_BYTES = 16 << 20  # benchmark text broadcast at once; a larger benchmark is scanned in several blocks
@@ -141,7 +141,7 @@ def _scan_block(docs: DataFrame, rows: list, size: int) -> DataFrame:
                     names[first + d] = sorted(found[d])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "hit_spans", "hit_items"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "n_words long", f"hit_spans {span}", "hit_items array<string>"]))
+    return map_arrow(docs, run, ", ".join([*fields, "n_words long", f"hit_spans {span}", "hit_items array<string>"]))
 
 
 def _n_hit(spans):
@@ -190,7 +190,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(cols))]
             yield pa.RecordBatch.from_arrays(arrays, names=list(cols))
 
-    return back(s.mapInArrow(cut, plain.schema))
+    return back(map_arrow(s, cut, plain.schema))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, positional
+from .common import held_out, map_arrow, positional
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
 TRAIN_DOCS_PER_LANG = 4000  # bound of the training sample, for each language
@@ -113,7 +113,7 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> tupl
         return [], np.zeros(0), np.zeros((len(ORDERS) << BITS, 0), np.float32)
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, docs_per_lang / sizes[g])))])
     sample = ok.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003))
-    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_merge, "lang string, counts binary")
+    counted = map_arrow(sample.select("text", "lang"), _count, "lang string, counts binary").groupBy("lang").applyInArrow(_merge, "lang string, counts binary")
     got = {r[0]: np.frombuffer(bytes(r[1]), np.int64) for r in counted.collect()}
     c = np.stack([got.get(g, np.zeros(len(ORDERS) << BITS, np.int64)) for g in langs], axis=1).astype(np.float64) + ALPHA
     for k in range(len(ORDERS)):
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
             pred, score = _score(b.column(at).to_pylist(), langs, prior, logp)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    return keep.mapInArrow(run, schema)
+    return map_arrow(keep, run, schema)
 
 
 def accepted(docs: DataFrame, model, min_score: float = 0.5) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, held_out, parts, sum_vectors, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, held_out, map_arrow, parts, sum_vectors, text_slices, word_hashes
 
 CONTEXTS, CLASSES = 512, 2048
 CHUNK_BYTES = 8 << 20
@@ -92,7 +92,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
         for i, x in enumerate(np.split(cells.ravel(), 2 * _BLOCKS)):
             yield row(2, task, i, x.tobytes(), b"")
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return map_arrow(docs, run, _SCHEMA)
 
 
 def _count_words(words: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _count_words(words: DataFrame) -> DataFrame:
             "counts": pa.array([*back, sums.tobytes()], pa.binary()),
         })
 
-    return words.groupBy("part").applyInArrow(run, "chunk long, part int, counts binary")
+    return group_arrow(words.groupBy("part"), run, "chunk long, part int, counts binary")
 
 
 def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -232,7 +232,7 @@ def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
 
     chunks = rows.filter("kind = 0").select("chunk", "a", "b", "c")
     back = counted.filter("chunk >= 0")
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return group_arrow(chunks.groupBy("chunk").cogroup(back.groupBy("chunk")), run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

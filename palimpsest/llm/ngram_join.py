@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, mix, positional, shingle_hashes, sum_vectors, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, map_arrow, mix, positional, shingle_hashes, sum_vectors, text_slices, word_hashes
 from .components import components
 
 SKETCH_BITS, PIECES = 20, 16
@@ -91,7 +91,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         flat = acc.reshape(PIECES, -1)
         yield pa.RecordBatch.from_arrays([pa.array([part] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "piece", "cells"])
 
-    got = sum_vectors(docs.select("text").mapInArrow(count, "part int, piece int, cells binary"), "sketch")
+    got = sum_vectors(map_arrow(docs.select("text"), count, "part int, piece int, cells binary"), "sketch")
     if not got:
         return np.zeros((2, size), np.int32)
     return np.minimum(np.concatenate([got[i] for i in range(PIECES)]), 2**31 - 1).astype(np.int32).reshape(2, size)
@@ -172,7 +172,7 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: float | None =
                 names=["key", "n_shingles", "sid", "bits", "sigs"],
             )
 
-    return docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(run, f"key {docs.schema['doc_id'].dataType.simpleString()}, n_shingles int, sid long, bits binary, sigs array<long>")
+    return map_arrow(docs.select(F.col("doc_id").alias("key"), "text"), run, f"key {docs.schema['doc_id'].dataType.simpleString()}, n_shingles int, sid long, bits binary, sigs array<long>")
 
 
 def _token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _token_sets(docs: DataFrame, n: int) -> DataFrame:
                 at = np.searchsorted(d, np.arange(len(offs)))
                 yield pa.RecordBatch.from_arrays([pa.array(_identities(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "tokens"])
 
-    return docs.mapInArrow(run, "id long, tokens array<long>")
+    return map_arrow(docs, run, "id long, tokens array<long>")
 
 
 def _near(size_a, size_b, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def _sift(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                 ok = pa.array(_near(na, nb, _bits(x.column(4)), _bits(x.column(5)), percent))
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
 
-    return sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+    return map_arrow(sized.select("a", "b", "na", "nb", "bits_a", "bits_b"), near, "a long, b long")
 
 
 def _compare_stars(members: DataFrame, percent: int, rows: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _compare_stars(members: DataFrame, percent: int, rows: int) -> DataFrame:
         a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return unit.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return group_arrow(unit.groupBy("bucket"), run, "a long, b long")
 
 
 def _verify(close: DataFrame, info: DataFrame, docs: DataFrame, n: int, percent: int, tmp: Scratch) -> DataFrame:

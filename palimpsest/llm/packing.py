@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import map_arrow
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free id of that vocabulary: ends every document and fills rows
 ROW, PACK_TOKENS, CACHE = 2048, 4_000_000, 200_000
@@ -162,7 +164,7 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, pack_tok
         if pieces:
             yield from _bounded(_flush(pieces, row, first, np.uint16))
 
-    return own.mapInArrow(run, SCHEMA)
+    return map_arrow(own, run, SCHEMA)
 
 
 def _bounded(batch: pa.RecordBatch, rows: int = 1024):

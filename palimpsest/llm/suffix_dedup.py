@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_shuffles, mix, parts, prefix_hash, range_hash, text_slices
+from .common import Scratch, free_shuffles, group_arrow, map_arrow, mix, parts, prefix_hash, range_hash, text_slices
 
 LENGTH, SAMPLE_WINDOW, SAMPLE_BYTES = 400, 128, 16
 CHUNK_BYTES = 4 << 20
@@ -183,7 +183,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
                 seq += 1
 
     name = f"palimpsest_chunks_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", "text").mapInArrow(chunks, "chunk long, ids binary, lens binary, data binary")
+    rows = map_arrow(docs.select("doc_id", "text"), chunks, "chunk long, ids binary, lens binary, data binary")
     # bucketed by chunk: the questions' answers are brought to the texts, never the texts to the answers
     rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{tmp.root}/chunks").saveAsTable(name)
     texts = spark.table(name)
@@ -199,7 +199,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
                 keys, _, count = _distinct(*_names(h, a, lo, hi, length, window))
                 yield from _ask(chunk, keys, count, buckets)
 
-    first = tmp.write(texts.mapInArrow(ask_samples, _ASKED).groupBy("part").applyInArrow(_judge_samples, _ANSWER), "samples")
+    first = tmp.write(group_arrow(map_arrow(texts, ask_samples, _ASKED).groupBy("part"), _judge_samples, _ANSWER), "samples")
     free_shuffles(spark)
 
     def open_windows(left: pa.Table, right: pa.Table):
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
         return pa.Table.from_batches(list(_ask(left.column("chunk")[0].as_py(), keys, count, buckets)), _ASKED_ARROW)
 
     by = lambda df: df.groupBy("chunk")
-    second = tmp.write(by(texts).cogroup(by(first)).applyInArrow(ask_windows, _ASKED).groupBy("part").applyInArrow(_judge_windows, _ANSWER), "windows")
+    second = tmp.write(group_arrow(group_arrow(by(texts).cogroup(by(first)), ask_windows, _ASKED).groupBy("part"), _judge_windows, _ANSWER), "windows")
     free_shuffles(spark)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -268,7 +268,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>" + ", kept binary" * with_kept
     answers = first.unionByName(second)
-    return by(texts).cogroup(by(answers)).applyInArrow(remove, schema)
+    return group_arrow(by(texts).cogroup(by(answers)), remove, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
