@@ -8,6 +8,7 @@ from .decontaminate import op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
 from .language_model import op4_language_model
+from .line_dedup import op2_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
@@ -17,6 +18,7 @@ from .suffix_dedup import op1_suffix_dedup
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_language_model": op4_language_model,
         "op6_decontamination": op6_decontamination,
