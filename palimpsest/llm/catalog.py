@@ -12,6 +12,7 @@ from .line_dedup import op2_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
+from .secret_scan import op5_secret_scan
 from .suffix_dedup import op1_suffix_dedup
 
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_language_model": op4_language_model,
+        "op5_secret_scan": op5_secret_scan,
         "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
