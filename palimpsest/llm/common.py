@@ -80,8 +80,18 @@ def free_shuffles(spark: SparkSession) -> None:
 FAN_IN = 64
 
 
+def packed(v: np.ndarray) -> bytes:
+    """An int64 vector, compressed (counts are mostly small)."""
+    raw = v.astype(np.int64).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little")), np.int64)
+
+
 def sum_vectors(df: DataFrame, label: str) -> dict[int, np.ndarray]:
-    """Element-wise sums of int64 vectors: rows (part int, piece int, cells binary) -> {piece: sum}.
+    """Element-wise sums of packed int64 vectors: rows (part int, piece int, cells binary) -> {piece: sum}.
 
     Vectors have a fixed length. They are summed in a tree of fan-in 64, so no task gets the
     vectors of all parts; only one vector for each piece comes to the driver.
@@ -90,9 +100,9 @@ def sum_vectors(df: DataFrame, label: str) -> dict[int, np.ndarray]:
     def total(t: pa.Table) -> pa.Table:
         acc = None
         for x in t.column("cells"):
-            v = np.frombuffer(x.as_py(), np.int64)
+            v = unpacked(x.as_py())
             acc = v.copy() if acc is None else acc + v
-        return pa.table({"part": t.column("part")[:1], "piece": t.column("piece")[:1], "cells": pa.array([acc.tobytes()], pa.binary())})
+        return pa.table({"part": t.column("part")[:1], "piece": t.column("piece")[:1], "cells": pa.array([packed(acc)], pa.binary())})
 
     tmp = Scratch(df.sparkSession, label)
     level = tmp.write(df, "parts")
@@ -102,7 +112,7 @@ def sum_vectors(df: DataFrame, label: str) -> dict[int, np.ndarray]:
         level = tmp.write(level.withColumn("part", (F.col("part") % tasks).cast("int")).groupBy("part", "piece").applyInArrow(total, "part int, piece int, cells binary"), "sums")
         if tasks == 1:
             break
-    out = {r.piece: np.frombuffer(bytes(r.cells), np.int64) for r in level.collect()}
+    out = {r.piece: unpacked(bytes(r.cells)) for r in level.collect()}
     tmp.clear()
     return out
 

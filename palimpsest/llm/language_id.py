@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_arrow, positional
+from .common import held_out, map_arrow, packed, positional, unpacked
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
 TRAIN_DOCS_PER_LANG = 4000  # bound of the training sample, for each language
@@ -90,14 +90,14 @@ def _count(batches):
                 for ids, _ in _ngrams(run)[0]:
                     acc += np.bincount(ids, minlength=len(acc))
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["lang", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([packed(v) for v in total.values()], pa.binary())], names=["lang", "counts"])
 
 
 def _merge(table: pa.Table) -> pa.Table:
     acc = np.zeros(len(ORDERS) << BITS, np.int64)
     for x in table.column("counts").to_pylist():
-        acc += np.frombuffer(x, np.int64)
-    return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([acc.tobytes()], pa.binary())})
+        acc += unpacked(x)
+    return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([packed(acc)], pa.binary())})
 
 
 def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> tupl
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, docs_per_lang / sizes[g])))])
     sample = ok.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003))
     counted = map_arrow(sample.select("text", "lang"), _count, "lang string, counts binary").groupBy("lang").applyInArrow(_merge, "lang string, counts binary")
-    got = {r[0]: np.frombuffer(bytes(r[1]), np.int64) for r in counted.collect()}
+    got = {r[0]: unpacked(bytes(r[1])) for r in counted.collect()}
     c = np.stack([got.get(g, np.zeros(len(ORDERS) << BITS, np.int64)) for g in langs], axis=1).astype(np.float64) + ALPHA
     for k in range(len(ORDERS)):
         part = slice(k << BITS, (k + 1) << BITS)

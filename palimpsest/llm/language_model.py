@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, held_out, map_arrow, parts, sum_vectors, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, held_out, map_arrow, packed, parts, sum_vectors, text_slices, word_hashes
 
 CONTEXTS, CLASSES = 512, 2048
 CHUNK_BYTES = 8 << 20
@@ -90,7 +90,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
                         own = slice(at[p], at[p + 1])
                         yield row(1, chunk, p, words[own].tobytes(), count[own].astype(np.int64).tobytes())
         for i, x in enumerate(np.split(cells.ravel(), 2 * _BLOCKS)):
-            yield row(2, task, i, x.tobytes(), b"")
+            yield row(2, task, i, packed(x), b"")
 
     return map_arrow(docs, run, _SCHEMA)
 
@@ -112,7 +112,7 @@ def _count_words(words: DataFrame) -> DataFrame:
         return pa.table({
             "chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int64()),
             "part": pa.array([t.column("part")[0].as_py()] * (n + 1), pa.int32()),
-            "counts": pa.array([*back, sums.tobytes()], pa.binary()),
+            "counts": pa.array([*back, packed(sums)], pa.binary()),
         })
 
     return group_arrow(words.groupBy("part"), run, "chunk long, part int, counts binary")

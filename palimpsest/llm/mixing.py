@@ -80,12 +80,12 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
     sizes = {r[0]: r[1] for r in docs.groupBy(src.alias("s")).count().collect()}
     given = {("" if s is None else f"={s}"): float(w) for s, w in weights.items()} if weights else {s: n**TEMPERATURE for s, n in sizes.items()}
     least = min(given.values(), default=1.0)
-    unit = units({s: given.get(s, least) for s in sizes}, period) if sizes else {}
-    q = sum(unit.values()) or 1
+    unit = units({s: given.get(s, least) for s in sizes or {"": 0}}, period)
+    q = sum(unit.values())
     total = sum(sizes.values())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-total // rows_per_bucket))
     bucket = F.coalesce(F.floor(F.conv(F.substring(md, 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)), F.lit(buckets)).cast("int")
-    plan = spark.createDataFrame([(s, i, t, unit[s]) for s, i, t in schedule(unit)] or [("", 0, 0, 1)], "_s string, _k long, _t long, _a long")
+    plan = spark.createDataFrame([(s, i, t, unit[s]) for s, i, t in schedule(unit)], "_s string, _k long, _t long, _a long")
     rows = docs.drop("mix_block", "mix_place", "mix_slot").withColumns({"_s": src, "_h": md, "_b": bucket})
     counts = docs.select(src.alias("_s"), bucket.alias("_b")).groupBy("_s", "_b").count()
     before = counts.select("_s", "_b", (F.sum("count").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("_before"))

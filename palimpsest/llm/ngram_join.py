@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, map_arrow, mix, positional, shingle_hashes, sum_vectors, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, map_arrow, mix, packed, positional, shingle_hashes, sum_vectors, text_slices, word_hashes
 from .components import components
 
 SKETCH_BITS, PIECES = 20, 16
@@ -89,7 +89,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
             add()
         part = TaskContext.get().partitionId()
         flat = acc.reshape(PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "piece", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([packed(x) for x in flat], pa.binary())], names=["part", "piece", "cells"])
 
     got = sum_vectors(map_arrow(docs.select("text"), count, "part int, piece int, cells binary"), "sketch")
     if not got:
