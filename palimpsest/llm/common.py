@@ -50,7 +50,13 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a written table that no later plan reads."""
+        self._delete(df._scratch_path)
 
     def clear(self) -> None:
         try:
