@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import Scratch, free_shuffles, group_arrow, map_arrow, mix, parts, prefix_hash, range_hash, text_slices
 
