@@ -201,10 +201,14 @@ def _bits(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _sift(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def _sift(pairs: DataFrame, info: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps leave."""
-    a, b = (info.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    # sizes go first: they are small to move and strike out most pairs before bitmaps are joined
+    a, b = (info.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = tmp.write(sized, "sized")
+    a, b = (info.select(F.col("sid").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    sized = sized.join(a, "a").join(b, "b")
 
     def near(batches):
         for x in batches:
@@ -296,7 +300,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     star = tmp.write(rows.join(shared, "sig").select("star", "sid").distinct(), "stars")
     free_shuffles(spark)
     pairs = star.filter("sid <> star").select(F.col("star").alias("a"), F.col("sid").alias("b"))
-    linked = tmp.write(_verify(_sift(pairs, info, percent), info, docs, n, percent, tmp), "linked")
+    linked = tmp.write(_verify(_sift(pairs, info, percent, tmp), info, docs, n, percent, tmp), "linked")
+    free_shuffles(spark)
     comp = tmp.write(components(linked, tmp), "comp")
     free_shuffles(spark)
     placed = tmp.write(star.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
