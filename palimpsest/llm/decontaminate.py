@@ -199,3 +199,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.array_join("hit_items", ",").cast("binary"), 256)
     return c.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
 
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS_SQL} AS w FROM benchmark),
+bm AS (SELECT item, w, least({WINDOW}, len(w)) AS m FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM bm, unnest(range(1, len(w) - m + 2)) AS t(i)),
+dw AS (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM bw) AS l, unnest(range(1, len(w) - m + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, m, item FROM dw JOIN bw USING (m, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + m)) AS u(p) GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {MIN_ITEMS} AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
