@@ -176,12 +176,22 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: float | None =
 
 
 def _token_sets(docs: DataFrame, n: int) -> DataFrame:
+    """id, tokens of each text; within a task each set once."""
+
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             for _, data, offs in text_slices(b):
                 h, d = _sets(data, offs, n)
                 at = np.searchsorted(d, np.arange(len(offs)))
-                yield pa.RecordBatch.from_arrays([pa.array(_identities(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "tokens"])
+                ids = _identities(h, at)
+                new = []
+                for k in ids.tolist():
+                    new.append(k not in seen)
+                    seen.add(k)
+                keep = pa.array(new)
+                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids).filter(keep), sets.filter(keep)], names=["id", "tokens"])
 
     return map_arrow(docs, run, "id long, tokens array<long>")
 
@@ -258,17 +268,23 @@ def _compare_stars(members: DataFrame, percent: int, rows: int) -> DataFrame:
 
 
 def _verify(close: DataFrame, info: DataFrame, docs: DataFrame, n: int, percent: int, tmp: Scratch) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    close = tmp.write(close, "close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    reps = tmp.write(info.join(ids, "sid", "left_semi").select("rep").distinct(), "reps")
-    few = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["rep"]), "left_semi").select("text")
-    sets = tmp.write(_token_sets(texts, n).dropDuplicates(["id"]), "tokens")
+    """The pairs (a, b) whose whole sets are similar.
+
+    Sets are read again from the texts of the candidates only, and each side of a pair is
+    joined with the sets that have that role.
+    """
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    x, y = (sets.select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    both = close.withColumns({"id_a": low("a"), "id_b": low("b")}).join(x, "id_a").join(y, "id_b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(100 * F.col("i") >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
+    close = tmp.write(close.distinct(), "close")
+    roles = close.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.lit(1).alias("role")), F.struct(F.col("b").alias("sid"), F.lit(2).alias("role")))).alias("x")).groupBy("x.sid").agg(F.bit_or("x.role").alias("role"))
+    ids = tmp.write(info.join(roles, "sid").select("rep", low("sid").alias("id"), "role"), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    some = lambda df: F.broadcast(df) if small else df
+    reps = ids.select("rep").distinct()
+    texts = docs.join(some(reps), docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+    sets = tmp.write(_token_sets(texts, n).join(some(ids.select("id", "role")), "id"), "tokens")
+    x, y = (sets.filter(F.col("role").bitwiseAND(F.lit(r)) != 0).select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(f"t{s}")) for r, s in ((1, "a"), (2, "b")))
+    both = close.withColumns({"id_a": low("a"), "id_b": low("b")}).join(y, "id_b").join(x, "id_a").withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    return both.filter(100 * F.col("i") >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None = None) -> DataFrame:
