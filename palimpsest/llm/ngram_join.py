@@ -230,13 +230,14 @@ def _sift(pairs: DataFrame, info: DataFrame, percent: int, tmp: Scratch) -> Data
     return map_arrow(sized.select("a", "b", "na", "nb", "bits_a", "bits_b"), near, "a long, b long")
 
 
-def _compare_stars(members: DataFrame, percent: int, rows: int) -> DataFrame:
+def _compare_stars(members: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """Pairs (a, b) of one star and different components that sizes and bitmaps leave.
 
     ``members``: star, sid, root, n, bits. A star of more than BLOCK members is compared block
     against block, each pair of blocks a unit of its own, so no task holds a whole star.
     """
-    count = members.groupBy("star").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb"))
+    rows = members.count()
+    count = tmp.write(members.groupBy("star").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb")), "blocks")  # written: a large star can then be split in the join
     cut = members.join(count, "star").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     unit = cut.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "bits")
     unit = unit.withColumn("bucket", F.pmod(F.xxhash64("star", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))))
@@ -314,6 +315,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     shared = tmp.write(rows.groupBy("sig").agg(F.min("sid").alias("star"), F.max("sid").alias("last")).filter("star <> last").select("sig", "star"), "shared")
     free_shuffles(spark)
     star = tmp.write(rows.join(shared, "sig").select("star", "sid").distinct(), "stars")
+    slim = tmp.write(table.select("key", "n_shingles", "sid"), "identities")
+    tmp.drop(table)
+    tmp.drop(shared)
     free_shuffles(spark)
     pairs = star.filter("sid <> star").select(F.col("star").alias("a"), F.col("sid").alias("b"))
     linked = tmp.write(_verify(_sift(pairs, info, percent, tmp), info, docs, n, percent, tmp), "linked")
@@ -324,12 +328,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     # pairs with the star's centre are decided; the rest of a star is compared where its members lie in several components
     open_ = tmp.write(placed.filter("sid <> star").groupBy("star").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("star"), "open")
     members = tmp.write(placed.filter("sid <> star").join(open_, "star", "left_semi").join(info.select("sid", "n", "bits"), "sid"), "members")
-    cross = _compare_stars(members, percent, members.count()).distinct()
+    cross = _compare_stars(members, percent, tmp).distinct()
     more = tmp.write(_verify(cross, info, docs, n, percent, tmp), "more")
     comp = tmp.write(components(linked.unionByName(more), tmp), "comp")
-    member = full.select("key", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    member = slim.filter("n_shingles > 0").select("key", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = tmp.write(member.groupBy("root").agg(F.min("key").alias("component_id")), "least")
-    named = table.select("key", "n_shingles", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left")
+    named = slim.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
     return named.select(F.col("key").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
 
