@@ -49,7 +49,14 @@ class Scratch:
         """Write and read again; ``by``: columns whose values get a folder each."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        # shuffle files of the plan go as soon as its result is written, not when the driver collects garbage
+        key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
