@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import decontaminate as dc
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +77,16 @@ def test_edges_and_blocks(spark):
     assert cut[1] == "x  y"
 
 
+def test_pipeline_stage_drops_one_item(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.collect()])
+    clean = sorted(x[0] for x in want if x[3] == 0)
+    assert 0 < len(clean) < docs.count()
+    kept = corpus_pipeline.decontamination(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == clean
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, SCHEMA)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
