@@ -105,6 +105,38 @@ def test_schedule_stays_within_a_block():
         assert done == unit
 
 
+def test_exact_schedule_keeps_to_the_weights():
+    rng = random.Random(3)
+    cases = [{f"s{i}": rng.random() ** 3 + 1e-6 for i in range(k)} for k in (3, 20, 200)] + [{"a": 1.0, "b": 0.0001}]
+    for weights in cases:
+        total, last = sum(weights.values()), 20_000
+        blocks = {s: int(w / total * last) + 2 for s, w in weights.items()}
+        at = mixing.slots(mixing.exact_units(weights), blocks)
+        order = sorted((t, s) for s, ts in at.items() for t in ts)
+        assert len({t for t, _ in order}) == len(order) == sum(blocks.values())
+        done = Counter()
+        for n, (t, s) in enumerate(order):
+            done[s] += 1
+            if t > last:
+                break
+            assert t == n  # all sources last so far
+            assert abs(done[s] - weights[s] / total * (t + 1)) < 1 + 1e-6
+            if t % 500 == 499:
+                assert all(abs(done[x] - weights[x] / total * (t + 1)) < 1 + 1e-6 for x in weights)
+    assert mixing.slots(mixing.exact_units({"a": 1.0, "b": 1e-9}), {"a": 3, "b": 2}) == {"a": [0, 1, 2], "b": [3, 1000000001]}
+
+
+def test_mix_follows_exact_weights(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 < 3, "a").otherwise("b").alias("source"))
+    got = mixing.mix(docs, weights={"a": 2.0004, "b": 0.9996}, block_docs=2).select("source", "mix_slot").distinct().collect()
+    seen = sorted((r.mix_slot, r.source) for r in got)
+    assert len(seen) == 12_000
+    done = Counter()
+    for t, s in seen[:8_000]:
+        done[s] += 1
+        assert abs(done["a"] - 2.0004 / 3 * (t + 1)) < 1 and abs(done["b"] - 0.9996 / 3 * (t + 1)) < 1
+
+
 def test_mix_numbers_and_edges(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = mixing.mix(docs, block_docs=2, rows_per_bucket=3, period=60).collect()
