@@ -34,8 +34,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids packed into rows."""
-    return packing.pack(docs)
+    """Token ids packed into rows; row_id follows the mixed order of the sources.
+
+    A scan of Parquet files doesn't keep the order of rows, so the mixed order is worked out
+    again: it depends on doc_id and source only.
+    """
+    return packing.pack(mixing.mixed(docs), ordered=True)
 
 
 STAGES = [

@@ -113,9 +113,11 @@ def best_fit_decreasing(sizes: list[int], row: int) -> list[list[int]]:
     return rows
 
 
-def _flush(pieces: list[tuple], row: int, first: int, dtype) -> pa.RecordBatch:
-    """pieces: (doc_id, offset in the document, ids)."""
+def _flush(pieces: list[tuple], row: int, first: int, dtype, ordered: bool = False) -> pa.RecordBatch:
+    """pieces: (doc_id, offset in the document, ids). ``ordered``: rows by the place of their middle token."""
     rows = best_fit_decreasing([len(p[2]) for p in pieces], row)
+    if ordered:
+        rows = sorted((sorted(r) for r in rows), key=lambda r: (sum(i * len(pieces[i][2]) for i in r) / sum(len(pieces[i][2]) for i in r), r[0]))
     ids, n, cu, resets, docs, offs = [], [], [], [], [], []
     for members in rows:
         m = np.full(row, END, dtype)
@@ -137,7 +139,7 @@ def _flush(pieces: list[tuple], row: int, first: int, dtype) -> pa.RecordBatch:
     )
 
 
-def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, pack_tokens: int = PACK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, pack_tokens: int = PACK_TOKENS, ordered: bool = False) -> DataFrame:
     """Packed rows of token ids (16-bit little-endian, filled with the end id).
 
     For each row: n_tokens used; cu_seqlens, the cumulative lengths of its segments;
@@ -145,6 +147,9 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, pack_tok
     offset in the document's tokens. Every document, a null or empty one too, ends with the
     end id, so each has a segment. Documents longer than a row are split, losslessly, into
     full rows and a rest. Only doc_id and text are read.
+
+    ``ordered``: row_id follows the order of ``docs`` but for the rows packed at once, which go
+    by the mean place of their tokens.
     """
     own = docs.select("doc_id", "text")
 
@@ -158,11 +163,11 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, pack_tok
                 pieces += [(d, o, ids[o : o + row]) for o in range(0, len(ids), row)]
                 held += len(ids)
                 if held >= pack_tokens:
-                    out = _flush(pieces, row, first, np.uint16)
+                    out = _flush(pieces, row, first, np.uint16, ordered)
                     yield from _bounded(out)
                     first, pieces, held = first + out.num_rows, [], 0
         if pieces:
-            yield from _bounded(_flush(pieces, row, first, np.uint16))
+            yield from _bounded(_flush(pieces, row, first, np.uint16, ordered))
 
     return map_arrow(own, run, SCHEMA)
 

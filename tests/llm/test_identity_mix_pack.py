@@ -265,6 +265,26 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert set(packed) == {r.doc_id for r in seen.collect()}
 
 
+def test_final_rows_follow_the_mix(spark, tmp_path):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('word ', repeat(concat(id, ' and '), 20 + id % 7 * 30)) AS text", "'en' AS lang", "CASE WHEN id % 20 = 0 THEN 'small' WHEN id < 2400 THEN 'middle' ELSE 'large' END AS source", "0L AS n_chars")
+    corpus_pipeline.mixture(spark, docs, "").repartition(7, "doc_id").write.parquet(str(tmp_path / "mixed"))  # a reader may meet the rows in any order
+    seen = spark.read.parquet(str(tmp_path / "mixed"))
+    source, place = {}, {}
+    for i, r in enumerate(mixing.mix(docs).orderBy("mix_slot", "mix_place").collect()):
+        source[r.doc_id], place[r.doc_id] = r.source, i
+    rows = corpus_pipeline.token_rows(spark, seen, "").orderBy("row_id").collect()
+    order = list(dict.fromkeys(d for r in rows for d in r.doc_ids))
+    assert sorted(order) == sorted(place)
+    size = {s: sum(x == s for x in source.values()) for s in set(source.values())}
+    weight = {s: n**0.7 for s, n in size.items()}
+    done, total = Counter(), sum(weight.values())
+    for n, d in enumerate(order[:3600], 1):
+        done[source[d]] += 1
+        if n % 1200 == 0:
+            assert all(abs(done[s] / n - weight[s] / total) < 0.05 for s in weight)
+    assert sum(abs(place[d] - i) for i, d in enumerate(order)) / len(order) < len(order) / 8
+
+
 def test_pipeline_on_odd_documents(spark, sf, odd):
     seen = odd
     for _, stage in corpus_pipeline.STAGES:
