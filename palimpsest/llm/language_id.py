@@ -49,14 +49,12 @@ def _runs(texts: list[str | None]):
 def _ngrams(texts: list[str]):
     """(feature ids of one order, document of each) for each order, and the documents that have a letter.
 
-    Features never cross documents: each text is framed by a blank.
+    Features never cross documents: each text is framed by two blanks of its own.
     """
-    joined = " " + " ".join(texts) + " "
+    joined = "".join(f" {t} " for t in texts)
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = _letters()[raw]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))  # of positions 0..len-1
-    doc = np.append(doc, len(texts) - 1)
+    doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])  # of each position
     letter = cp != 32
     has = np.zeros(len(texts), bool)
     has[doc[letter]] = True
@@ -73,7 +71,8 @@ def _ngrams(texts: list[str]):
             h ^= h >> np.uint64(29)
             live |= letter[j : j + m]
         h = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
-        d = doc[n // 2 : n // 2 + m] if n < 3 else doc[1 : 1 + m]
+        d = doc[:m]
+        live &= d == doc[n - 1 :]
         grams.append((h[live].astype(np.int64) + (k << BITS), d[live]))
     return grams, has
 

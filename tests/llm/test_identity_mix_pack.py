@@ -88,6 +88,17 @@ def test_language_edges(odd):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_ngrams_do_not_depend_on_neighbours():
+    def per_text(texts):
+        grams, has = language_id._ngrams(texts)
+        return [(([sorted(ids[doc == i].tolist()) for ids, doc in grams] + [[]])[:3], bool(has[i])) for i in range(len(texts))]
+
+    texts = ["ab", "cd", "", "x", "1", "\u00e9t\u00e9 l\u00e0", " lead and tail "]
+    alone = [per_text([t])[0] for t in texts]
+    assert per_text(texts) == alone and per_text(texts[::-1]) == alone[::-1]
+    assert [len(x) for x in alone[0][0]] == [2, 3, 2]  # a b, " a" ab "b ", " ab" "ab "
+
+
 # ---------------------------------------------------------------- mixing
 
 
