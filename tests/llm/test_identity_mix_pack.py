@@ -206,6 +206,22 @@ def test_round_trip(spark, sf, odd):
     assert sum(len(r.doc_ids) for r in packing.pack(odd).collect()) >= len(ODD)
 
 
+def test_long_runs_and_other_ids(spark, monkeypatch):
+    tok = packing.Tokens(packing.VOCABULARY)
+    monkeypatch.setattr(packing, "BLANKS", re.compile(packing.BLANKS.pattern.replace("10000", "3")))
+    for run in ("   ", " \n\t ", "\n\n\n", "\u3000 \xa0  ", "     "):
+        for text in (f"a{run}b", f"a{run}", f"{run}b", f"a{run}!{run}7{run}{run}é", run, f"a{run}'s b"):
+            assert np.frombuffer(tok.whole(text), np.uint32).tolist() == tok.enc.encode_ordinary(text)
+    monkeypatch.undo()
+    long = ["x" + " " * 2_000_000 + "y", " " * 2_000_000, "a" * 500_000, "\n" * 300_000 + "z"]
+    df = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(long)] + [("id0", "again"), (None, "no id")], "doc_id string, text string")
+    rows = packing.pack(df, row=4096).collect()
+    assert sorted({d for r in rows for d in r.doc_ids if d}) == ["id0", "id1", "id2", "id3"]
+    got = packing.unpack(rows)
+    for i in (1, 2, 3):
+        assert tok.enc.decode(got[f"id{i}"][:-1].tolist()) == long[i]
+
+
 # ---------------------------------------------------------------- language model
 
 
@@ -256,6 +272,20 @@ def test_language_model_edges(odd):
 # ---------------------------------------------------------------- pipeline
 
 
+def benchmark_documents(docs, bench):
+    """Ids of the documents that hold any window of eight words (or a whole shorter item) of the benchmark."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [split(r.text) for r in bench.collect()]
+    windows = {(m, tuple(w[i : i + m])) for w in items if w for m in [min(8, len(w))] for i in range(len(w) - m + 1)}
+    sizes = {m for m, _ in windows}
+    out = set()
+    for r in docs.collect():
+        w = split(r.text)
+        if any((m, tuple(w[i : i + m])) in windows for m in sizes for i in range(len(w) - m + 1)):
+            out.add(r.doc_id)
+    return out
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = docs
@@ -269,6 +299,10 @@ def test_pipeline_stages(spark, sf, tmp_path):
             assert {r.doc_id for r in now.collect()} == {r.component_id for r in groups}
         elif name.startswith("mixing"):
             assert sorted(r.doc_id for r in now.collect()) == sorted(r.doc_id for r in seen.collect())
+        elif name.startswith("benchmark"):
+            kept = {r.doc_id for r in now.collect()}
+            hit = benchmark_documents(seen, spark.read.parquet(f"{sf}/benchmark.parquet"))
+            assert hit and kept == {r.doc_id for r in seen.collect()} - hit
         else:
             assert now.count() > 0.9 * seen.count()
         seen = now
