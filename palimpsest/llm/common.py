@@ -65,6 +65,10 @@ class Scratch:
         """Delete a written table that no later plan reads."""
         self._delete(df._scratch_path)
 
+    def remove(self, name: str) -> None:
+        """Delete what was put under the folder by that name."""
+        self._delete(f"{self.root}/{name}")
+
     def clear(self) -> None:
         try:
             self._delete(self.root)
@@ -237,12 +241,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes; see :func:`range_hash`."""
+def prefix_hash(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes, or over the values of the bytes; see :func:`range_hash`."""
     a, _ = powers(len(data) + 1)
     h = np.empty(len(data) + 1, np.uint64)
     h[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * a[: len(data)], out=h[1:])
+    x = data.astype(np.uint64) + np.uint64(1) if values is None else values[data]
+    np.cumsum(x * a[: len(data)], out=h[1:])
     return h
 
 

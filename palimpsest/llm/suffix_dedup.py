@@ -1,20 +1,24 @@
-"""Removal of byte strings that repeat anywhere in the corpus, by names of a sampled cover of positions.
-
-A position is sampled when it holds the least hash of 16 bytes among 128 consecutive
-positions. The sample is a cover in the sense of difference-cover suffix sorting: every
-400-byte string has a first sampled position, at the same distance in each place where
-the string occurs. It is chosen by content rather than by a period, so that distances agree
-without regard to where the strings lie, and is about 1.6 % of all positions.
-
-1. Sampled strings (the bytes from a sample onward that all of its 400-byte windows have)
-   are named by sorting fingerprints. A name that occurs once ends the matter for all
-   windows of the sample.
-2. Names are extended: the string of all the windows of a sample. If that occurs again, so
-   do all its windows.
-3. The remaining windows are merged by (distance, name), which is their fingerprint, sorted,
-   and compared with their neighbours.
-
-Texts stay where they are, in a table bucketed by chunk. What is shuffled is fingerprints,
+"""Removal of byte strings that repeat anywhere in the corpus, by a distributed difference cover.
+
+The cover is a perfect difference set modulo a period v: ten residues of 91, so that of any
+two positions some equal shift below 91 leads to two samples. Positions count from the start
+of their document.
+
+1. The v bytes at every sample are named: the names are sorted over all documents, and a name
+   that occurs once ends the matter for its sample.
+2. The recursion works on the string of names: triples of adjacent names (of p, p+v and p+2v),
+   that is 3v bytes, are sorted and named again. A 400-byte string that occurs twice holds, at
+   one shift in both places, a sample whose triple occurs twice. A sample also shows the
+   string of all 400-byte windows that it lies in the first v bytes of; if that occurs again,
+   so do all these windows.
+3. The remaining windows are merged: a window that lies in open samples is keyed by 96 bits of
+   its whole 400 bytes, the keys are sorted, and neighbours with equal keys are the same string.
+
+Only names are compared, never bytes: names have 64 bits, those of windows 96, so that a
+window goes wrongly with a chance of about (windows)**2 / 2**97. No suffix is ranked beyond
+400 bytes, since that is all the result depends on.
+
+Texts stay where they are, in a table bucketed by chunk. What is shuffled is names,
 deduplicated in each chunk, and the answers to them in the same order.
 """
 
@@ -30,47 +34,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Scratch, free_shuffles, group_arrow, map_arrow, mix, parts, prefix_hash, range_hash, text_slices
 
-LENGTH, SAMPLE_WINDOW, SAMPLE_BYTES = 400, 128, 16
+LENGTH, PERIOD = 400, 91
+#: Perfect difference sets by period: every difference but 0 occurs once. Fixed values.
+COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 CHUNK_BYTES = 4 << 20
-DEAD, COVERED, OPEN, WITNESS = 0, 1, 2, 3  # answers for a sample; a witness is covered and shows its windows to open ones
+DEAD, COVERED, OPEN, WITNESS = 0, 1, 2, 3  # answers for a triple; a witness is covered and shows its windows to open ones
+NAMES, TRIPLES, WINDOWS = 0, 1, 2  # questions
+_SECOND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))  # values of bytes for a second hash
 
 
-def samples(data: np.ndarray, offs: np.ndarray, length: int, window: int, width: int):
-    """(prefix hash, sample, first and last window start) of the samples of a slice of documents.
+def samples(data: np.ndarray, offs: np.ndarray, length: int, period: int):
+    """(prefix hash, name of each sample, samples that start a triple, position, first and last window of these).
 
-    Windows are the starts p with p + length within the document; those of one sample are adjacent.
+    Windows are the starts p with p + length within the document; those that a sample lies in
+    the first ``period`` bytes of are adjacent.
     """
+    cover = np.array(COVERS[period])
     h = prefix_hash(data)
-    n = len(data)
-    none = np.zeros(0, np.int64)
     lens = np.diff(offs)
     long = np.flatnonzero(lens >= length)
-    if not len(long):
-        return h, none, none, none
-    q = np.arange(n - width + 1)
-    low = (range_hash(h, q, q + width) & np.uint64(0xFFFFFFFF00000000)) | q.astype(np.uint64)
-    step = 1
-    while step < window:  # least of window consecutive positions, by doubling
-        jump = min(step, window - step)
-        low = np.minimum(low[:-jump], low[jump:])
-        step += jump
-    edge = np.zeros(n + 1, np.int8)
-    edge[offs[long]] += 1
-    edge[offs[long + 1] - length + 1] -= 1
-    p = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
-    at = (low[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(p), bool)
-    new[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return h, at[first], p[first], p[last]
-
-
-def _names(h, a, lo, hi, length, window):
-    """(name of the sample, name of the string of all its windows)."""
-    short = range_hash(h, a, a + length - window + 1)
-    whole = mix(range_hash(h, lo, hi + length) + (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return short, whole
+    n = lens[long] - length + 3 * period  # positions of samples whose names are needed
+    each = -(-n // period) * len(cover)
+    doc = np.repeat(np.arange(len(long)), each)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+    at = (k // len(cover)) * period + cover[k % len(cover)]
+    ok = at < n[doc]
+    doc, at = doc[ok], at[ok]
+    start = offs[long][doc]
+    p = start + at
+    # the sample one period on is len(cover) places on; triples start where two more periods are sampled
+    first = np.flatnonzero(at < n[doc] - 2 * period)
+    a, lo = p[first], start[first]
+    return h, range_hash(h, p, p + period), first, a, np.maximum(a - period + 1, lo), np.minimum(a, lo + lens[long][doc[first]] - length)
+
+
+def _triples(h, name, first, a, lo, hi, length, width):
+    """(name of the triple, name of the string of all its windows)."""
+    x = name[first]
+    for i in (1, 2):
+        x = mix(x * np.uint64(0x9DDFEA08EB382D69) + name[first + i * width])
+    return x, mix(range_hash(h, lo, hi + length) + (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _distinct(*keys: np.ndarray):
@@ -93,20 +96,42 @@ def _slice(table_row_ids: bytes, data: np.ndarray, lens: np.ndarray):
     return ids, data, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
 
 
-def _ask(chunk: int, keys: list[np.ndarray], count: np.ndarray, buckets: int):
-    """Rows (ask, chunk, part, keys, counts): one for each range of the first key."""
+def _ask(chunk: int, keys: list[np.ndarray], widths: list[int], count: np.ndarray, buckets: int):
+    """Rows (chunk, part, keys, counts): one for each range of the first key; of each key its ``width`` highest bytes."""
     part = ((keys[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     at = np.searchsorted(part, np.arange(buckets + 1))
     live = np.flatnonzero(at[1:] > at[:-1])
     if not len(live):
         return
     cut = [slice(at[p], at[p + 1]) for p in live]
+    raw = [np.ascontiguousarray(k).view(np.uint8).reshape(-1, 8)[:, 8 - w :] for k, w in zip(keys, widths)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([chunk] * len(live), pa.int64()), pa.array(live.astype(np.int32)), pa.array([b"".join(k[c].tobytes() for k in keys) for c in cut], pa.binary()), pa.array([np.minimum(count[c], 2).astype(np.uint8).tobytes() for c in cut], pa.binary())],
+        [pa.array([chunk] * len(live), pa.int64()), pa.array(live.astype(np.int32)), pa.array([b"".join(k[c].tobytes() for k in raw) for c in cut], pa.binary()), pa.array([np.minimum(count[c], 2).astype(np.uint8).tobytes() for c in cut], pa.binary())],
         names=["chunk", "part", "keys", "counts"],
     )
 
 
+def _asked(t: pa.Table, widths: list[int]):
+    """(the keys of all rows, their counts, where each row ends)."""
+    counts = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]
+    keys = [np.zeros((sum(map(len, counts)), 8), np.uint8) for _ in widths]
+    at = 0
+    for x, c in zip(t.column("keys"), counts):
+        raw, skip = np.frombuffer(x.as_py(), np.uint8), 0
+        for k, w in zip(keys, widths):
+            k[at : at + len(c), 8 - w :] = raw[skip : skip + w * len(c)].reshape(-1, w)
+            skip += w * len(c)
+        at += len(c)
+    return [k.view(np.uint64).ravel() for k in keys], np.concatenate(counts).astype(np.int64), np.cumsum([len(c) for c in counts])
+
+
+def _cut(keys: list[np.ndarray], widths: list[int]) -> list[np.ndarray]:
+    """The keys with all but their ``width`` highest bytes cleared."""
+    return [k & ~np.uint64((1 << 8 * (8 - w)) - 1) for k, w in zip(keys, widths)]
+
+
+# bytes sent of each key: a name decides only whether its sample goes on, so 48 bits do
+W_NAMES, W_TRIPLES, W_WINDOWS = [6], [8, 8], [8, 4]
 _ASKED = "chunk long, part int, keys binary, counts binary"
 _ASKED_ARROW = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = "chunk long, ask int, part int, answers binary"
@@ -118,11 +143,20 @@ def _answered(t: pa.Table, ask: int, answers: np.ndarray, ends: np.ndarray) -> p
     return pa.table({"chunk": t.column("chunk"), "ask": pa.array([ask] * n, pa.int32()), "part": t.column("part"), "answers": pa.array([x.tobytes() for x in cut], pa.binary())})
 
 
-def _judge_samples(t: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in t.column("keys")]
-    count = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]).astype(np.int64)
-    short, whole = np.concatenate(keys, axis=1)
-    (s, _), row, _ = _distinct(short, whole)
+def _judge(question: int, widths: list[int]):
+    """Answers to names and windows: whether each occurs twice."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, count, ends = _asked(t, widths)
+        _, row, _ = _distinct(*keys)
+        return _answered(t, question, np.bincount(row, weights=count)[row] >= 2, ends)
+
+    return run
+
+
+def _judge_triples(t: pa.Table) -> pa.Table:
+    (triple, whole), count, ends = _asked(t, W_TRIPLES)
+    (s, _), row, _ = _distinct(triple, whole)
     times = np.bincount(row, weights=count).astype(np.int64)  # of each string of windows
     _, name, _ = _distinct(s)
     occurs = np.bincount(name, weights=times)[name]
@@ -131,15 +165,7 @@ def _judge_samples(t: pa.Table) -> pa.Table:
     first = np.zeros(len(row), bool)
     first[np.unique(row, return_index=True)[1]] = True
     answer[first & (answer == COVERED) & opens[row]] = WITNESS
-    return _answered(t, 1, answer, np.cumsum([k.shape[1] for k in keys]))
-
-
-def _judge_windows(t: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-    count = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")])
-    _, row, _ = _distinct(np.concatenate(keys))
-    times = np.bincount(row, weights=count)
-    return _answered(t, 2, times[row] >= 2, np.cumsum([len(k) for k in keys]))
+    return _answered(t, TRIPLES, answer, ends)
 
 
 def _got(t: pa.Table, ask: int) -> np.ndarray:
@@ -148,23 +174,24 @@ def _got(t: pa.Table, ask: int) -> np.ndarray:
     return np.frombuffer(b"".join(x for _, x in rows), np.uint8)
 
 
-def _windows(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all starts of the runs, run of each)."""
-    n = hi - lo + 1
-    run = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + lo[run], run
+def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each of n + 1 positions lies in one of the runs [lo, hi]."""
+    edge = np.bincount(lo, minlength=n + 2) - np.bincount(hi + 1, minlength=n + 2)
+    return np.cumsum(edge)[: n + 1] > 0
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW, width: int = SAMPLE_BYTES, with_kept: bool = True) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges [from, to)) and, if asked, kept (bytes).
 
     A byte goes when a string of ``length`` bytes over it also starts at another place of the
     input, overlaps and the same document included. Null counts as empty; texts shorter than
-    ``length`` lose nothing. Every input row gives one row, repeated ids too. Only doc_id and
-    text are read. Equality is that of 64-bit fingerprints within equal 64-bit names.
+    ``length`` lose nothing. Every input row gives one row, repeated ids too. A very long text
+    is a chunk of its own. Only doc_id and text are read, whatever other columns are called.
+    ``period``: of the difference cover, one of COVERS. The result is a written table.
     """
-    if length < window + width:
-        raise ValueError("length must be window + width at least")
+    if length < 4 * period - 1:
+        raise ValueError("length must be four periods less one at least")
+    width = len(COVERS[period])
     spark = docs.sparkSession
     tmp = Scratch(spark, "repeats")
     buckets = parts(spark, docs)
@@ -187,50 +214,65 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
     rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{tmp.root}/chunks").saveAsTable(name)
     texts = spark.table(name)
 
-    def read(ids, lens, data):
-        ids, data, offs = _slice(ids, np.frombuffer(data, np.uint8), np.frombuffer(lens, np.int64))
-        return ids, data, offs, *samples(data, offs, length, window, width)
+    def read(t: pa.Table):
+        ids, data, offs = _slice(t.column("ids")[0].as_py(), np.frombuffer(t.column("data")[0].as_py(), np.uint8), np.frombuffer(t.column("lens")[0].as_py(), np.int64))
+        return ids, data, offs, *samples(data, offs, length, period)
 
-    def ask_samples(batches):
+    def ask_names(batches):
         for b in batches:
-            for chunk, *row in zip(*(c.to_pylist() for c in b.columns)):
-                _, _, _, h, a, lo, hi = read(*row)
-                keys, _, count = _distinct(*_names(h, a, lo, hi, length, window))
-                yield from _ask(chunk, keys, count, buckets)
-
-    first = tmp.write(group_arrow(map_arrow(texts, ask_samples, _ASKED).groupBy("part"), _judge_samples, _ANSWER), "samples")
-    free_shuffles(spark)
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                keys, _, count = _distinct(*_cut([read(t)[4]], W_NAMES))
+                yield from _ask(t.column("chunk")[0].as_py(), keys, W_NAMES, count, buckets)
+
+    def triples(left: pa.Table, right: pa.Table):
+        """The triples of three repeated names, with their windows."""
+        ids, data, offs, h, name, first, a, lo, hi = read(left)
+        (_,), row, _ = _distinct(*_cut([name], W_NAMES))
+        again = _got(right, NAMES)[row] > 0 if len(row) else np.zeros(0, bool)
+        live = again[first] & again[first + width] & again[first + 2 * width] if len(first) else np.zeros(0, bool)
+        first, a, lo, hi = first[live], a[live], lo[live], hi[live]
+        return ids, data, offs, h, lo, hi, _distinct(*_triples(h, name, first, a, lo, hi, length, width))
+
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_batches([], _ASKED_ARROW)
+        keys, _, count = triples(left, right)[-1]
+        return pa.Table.from_batches(list(_ask(left.column("chunk")[0].as_py(), keys, W_TRIPLES, count, buckets)), _ASKED_ARROW)
 
     def open_windows(left: pa.Table, right: pa.Table):
-        ids, data, offs, h, a, lo, hi = read(*(left.column(c)[0].as_py() for c in ("ids", "lens", "data")))
-        _, row, _ = _distinct(*_names(h, a, lo, hi, length, window))
-        state = _got(right, 1)[row] if len(row) else np.zeros(0, np.uint8)
-        shown = np.flatnonzero((state == OPEN) | (state == WITNESS))
-        p, run = _windows(lo[shown], hi[shown])
-        w = range_hash(h, p, p + length)
-        return ids, data, offs, lo, hi, state, p, state[shown][run] if len(run) else np.zeros(0, np.uint8), w
+        """What :func:`triples` gives, whether each byte starts a window known to repeat, and the windows shown."""
+        ids, data, offs, h, lo, hi, (_, row, _) = triples(left, right)
+        state = _got(right, TRIPLES)[row] if len(row) else np.zeros(0, np.uint8)
+        sure, shown = (_marked(len(data), lo[x], hi[x]) for x in ((state == COVERED) | (state == WITNESS), (state == OPEN) | (state == WITNESS)))
+        p = np.flatnonzero(shown)
+        two = prefix_hash(data, _SECOND) if len(p) else h
+        return ids, data, offs, sure, p, _cut([range_hash(h, p, p + length), range_hash(two, p, p + length)], W_WINDOWS)
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], _ASKED_ARROW)
-        *_, state, w = open_windows(left, right)
-        keys, row, count = _distinct(w)
-        # a covered string occurs at least twice, and its other places do not ask
-        count[np.unique(row[state == WITNESS])] = 2
-        return pa.Table.from_batches(list(_ask(left.column("chunk")[0].as_py(), keys, count, buckets)), _ASKED_ARROW)
+        *_, sure, p, w = open_windows(left, right)
+        keys, row, count = _distinct(*w)
+        # a window known to repeat counts twice: its other places need not be shown
+        count[np.unique(row[sure[p]])] = 2
+        return pa.Table.from_batches(list(_ask(left.column("chunk")[0].as_py(), keys, W_WINDOWS, count, buckets)), _ASKED_ARROW)
+
+    def judged(asked: DataFrame, judge, label: str) -> DataFrame:
+        out = tmp.write(group_arrow(asked.groupBy("part"), judge, _ANSWER), label)
+        free_shuffles(spark)
+        return out
 
     by = lambda df: df.groupBy("chunk")
-    second = tmp.write(group_arrow(group_arrow(by(texts).cogroup(by(first)), ask_windows, _ASKED).groupBy("part"), _judge_windows, _ANSWER), "windows")
-    free_shuffles(spark)
+    answers = judged(map_arrow(texts, ask_names, _ASKED), _judge(NAMES, W_NAMES), "names")
+    answers = answers.unionByName(judged(group_arrow(by(texts).cogroup(by(answers)), ask_triples, _ASKED), _judge_triples, "triples"))
+    answers = answers.unionByName(judged(group_arrow(by(texts).cogroup(by(answers)), ask_windows, _ASKED), _judge(WINDOWS, W_WINDOWS), "windows"))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, data, offs, lo, hi, state, p, _, w = open_windows(left, right)
-        again = np.zeros(len(data) + 1, np.int64)
-        sure = np.flatnonzero((state == COVERED) | (state == WITNESS))
-        again[_windows(lo[sure], hi[sure])[0]] = 1
-        if len(w):
-            _, row, _ = _distinct(w)
-            again[p[_got(right, 2)[row] > 0]] = 1
+        ids, data, offs, again, p, w = open_windows(left, right)
+        if len(p):
+            _, row, _ = _distinct(*w)
+            again[p[_got(right, WINDOWS)[row] > 0]] = True
         seen = np.concatenate([[0], np.cumsum(again[:-1])])
         gone = seen[1:] > seen[np.maximum(np.arange(1, len(data) + 1) - length, 0)]
         edge = np.zeros(len(data) + 1, bool)
@@ -266,8 +308,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = SAMPLE_WINDOW,
         return pa.table(out)
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>" + ", kept binary" * with_kept
-    answers = first.unionByName(second)
-    return group_arrow(by(texts).cogroup(by(answers)), remove, schema)
+    out = tmp.write(group_arrow(by(texts).cogroup(by(answers)), remove, schema), "out")
+    spark.sql(f"DROP TABLE {name}")
+    tmp.remove("chunks")
+    return out
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
