@@ -1,33 +1,40 @@
 """Language-model scores: a hierarchical Pitman-Yor model sampled in Chinese restaurants.
 
-The next word depends on the word before it. Words fall into classes by hash: the class of
-the preceding word picks one of a fixed number of context restaurants, whose dishes are
-the classes of the next word and which all share one parent restaurant; within its class
-a word has a smoothed relative frequency from exact counts. The seating of all training
-tokens is resampled in Gibbs sweeps, and the predictive probabilities of several sweeps
-are averaged. The table of class pairs has a fixed size; exact word counts do not, and are
-never broadcast: each chunk of documents sends its distinct words to the tasks that count
-them and gets the corpus counts back in the same order.
+The next word depends on the word before it. Each word is a restaurant that serves the words
+that follow it, and all of these share one parent restaurant over all words, whose base is
+uniform over the vocabulary and one unknown word. Words are kept by 64-bit hashes; there are
+as many restaurants and dishes as the corpus has words and pairs of words.
+
+Seating is sampled by Gibbs: the tables of each dish are drawn anew from their distribution
+given all other tables of the restaurant and the parent's predictive probabilities (exactly
+for up to ``EXACT`` customers, by seating them one by one above that). Dishes of a restaurant
+are drawn in rounds of doubling size, and its number of tables is brought up to date between
+rounds. Then every table sends a customer to the parent, and the parent's dishes are reseated.
+Predictive probabilities of several sweeps are averaged.
+
+Chunks of documents send their distinct pairs, by the hash range of the first word, to the
+tasks that hold those restaurants; a sweep is one task for each range and one for each range
+of the parent's words. The driver gets a few sums for each range. Answers come back to the
+chunks in the order asked. No table of the model is broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, held_out, map_arrow, packed, parts, sum_vectors, text_slices, word_hashes
+from .common import LOWER_TABLE, Scratch, free_shuffles, group_arrow, held_out, map_arrow, parts, text_slices, word_hashes
 
-CONTEXTS, CLASSES = 512, 2048
 CHUNK_BYTES = 8 << 20
-BURN_IN, SAMPLES, SEED = 5, 5, 17
+BURN_IN, SAMPLES, SEED, EXACT = 1, 2, 17, 32
 PARENT = (0.5, 1.0)  # discount and strength of the parent restaurant
-DISCOUNTS, STRENGTHS = (0.05, 0.3, 0.6, 0.9), (1.0, 10.0, 100.0, 1e3, 1e4, 1e5)  # tried for the context restaurants
-ADD = 0.5
+DISCOUNTS, STRENGTHS = (0.3, 0.6, 0.9), (1.0, 30.0, 1e3, 3e4)  # tried for the other restaurants
 END = np.uint64(0x656E640A656E640A)
-_BLOCKS = 16  # pieces of the table of class pairs
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,82 +47,128 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tok, np.repeat(np.arange(k), lens)
 
 
-def _class(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(CLASSES)).astype(np.int64)
+def _dump(*arrays) -> bytes:
+    raw = pickle.dumps(arrays, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _before(x: np.ndarray, doc: np.ndarray, end) -> np.ndarray:
-    """The element before each one; before the first of a document, ``end``."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[np.flatnonzero(np.diff(doc, prepend=-1))] = end
-    return out
+def _load(b) -> tuple:
+    return pickle.loads(pa.Codec("zstd").decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), asbytes=True))
+
+
+def _rows(*rows: tuple) -> pa.Table:
+    """Rows (kind, chunk, part, cell)."""
+    kind, chunk, part, cell = zip(*rows) if rows else ((), (), (), ())
+    return pa.table({"kind": pa.array(kind, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "cell": pa.array(cell, pa.binary())})
+
+
+_SCHEMA = "kind int, chunk long, part int, cell binary"
 
 
-_SCHEMA = "kind int, chunk long, part int, a binary, b binary, c binary"
+def _range(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of three kinds: 0 a chunk's tokens; 1 a chunk's distinct words of one hash range with training counts; 2 a task's class pairs."""
+def _cuts(h: np.ndarray, buckets: int):
+    """(range, slice) of the ranges that sorted hashes lie in."""
+    at = np.searchsorted(_range(h, buckets), np.arange(buckets + 1))
+    return [(p, slice(int(at[p]), int(at[p + 1]))) for p in range(buckets) if at[p] < at[p + 1]]
 
-    def row(kind, chunk, part, a, b, c=b""):
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([c], pa.binary())], names=["kind", "chunk", "part", "a", "b", "c"])
+
+def _pairs(doc: np.ndarray, inv: np.ndarray, words: np.ndarray):
+    """(pair of each token, first word and second word of the distinct pairs): in order of the hashes; words sorted, END among them."""
+    before = np.empty_like(inv)
+    before[1:] = inv[:-1]
+    before[np.flatnonzero(np.diff(doc, prepend=-1))] = np.searchsorted(words, END)
+    keys, pair = np.unique(before.astype(np.int64) * len(words) + inv, return_inverse=True)
+    return pair, keys // len(words), keys % len(words)
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """A row for each chunk: ids, and its words, tokens, documents and what to learn from."""
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        cells = np.zeros((2, CONTEXTS * CLASSES), np.int64)  # of documents in even and odd places
-        seq = 0
+        task, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             learn = np.asarray(b.column(1)).astype(bool)
             for first, data, offs in text_slices(b, limit=CHUNK_BYTES):
                 tok, doc = _tokens(data, offs)
                 words, inv = np.unique(tok, return_inverse=True)
-                train = learn[first : first + len(offs) - 1][doc]
-                count = np.bincount(inv[train], minlength=len(words))
-                cls = _class(words)
-                ctx = _before(cls[inv], doc, int(_class(END))) % CONTEXTS
-                pair = ctx * CLASSES + cls[inv]
-                for half in (0, 1):
-                    cells[half] += np.bincount(pair[train & (doc % 2 == half)], minlength=cells.shape[1])
-                chunk, seq = (task << 32) | seq, seq + 1
                 ids = pa.RecordBatch.from_arrays([b.column(0).slice(first, len(offs) - 1)], names=["doc_id"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as w:
                     w.write_batch(ids)
-                yield row(0, chunk, 0, sink.getvalue().to_pybytes(), np.append(doc.astype(np.int32), inv.astype(np.int32)).tobytes(), cls.astype(np.int16).tobytes())
-                part = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                at = np.searchsorted(part, np.arange(buckets + 1))
-                for p in range(buckets):
-                    if at[p] < at[p + 1]:
-                        own = slice(at[p], at[p + 1])
-                        yield row(1, chunk, p, words[own].tobytes(), count[own].astype(np.int64).tobytes())
-        for i, x in enumerate(np.split(cells.ravel(), 2 * _BLOCKS)):
-            yield row(2, task, i, packed(x), b"")
+                lens = np.bincount(doc, minlength=len(offs) - 1).astype(np.int32)
+                yield from _rows((0, (task << 32) | seq, 0, _dump(sink.getvalue().to_pybytes(), words, inv.astype(np.int32), lens, learn[first : first + len(lens)]))).to_batches()
+                seq += 1
 
     return map_arrow(docs, run, _SCHEMA)
 
 
-def _count_words(words: DataFrame) -> DataFrame:
-    """For each hash range: a row for each chunk with its words' corpus counts, and one (chunk -1) with sums by class."""
+def _ask(buckets: int):
+    """Of each chunk, rows of kind 1 (words of a range, training counts) and kind 2 (pairs whose first word is in a range, training counts)."""
 
-    def run(t: pa.Table) -> pa.Table:
-        hs = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("a")]
-        cs = [np.frombuffer(x.as_py(), np.int64) for x in t.column("b")]
-        words, inv = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(inv, weights=np.concatenate(cs)).astype(np.int64)
-        known = total > 0
-        cls = _class(words)
-        sums = np.concatenate([np.bincount(cls, weights=total, minlength=CLASSES), np.bincount(cls[known], minlength=CLASSES)]).astype(np.int64)
-        ends = np.cumsum([len(h) for h in hs])[:-1]
-        back = [x.astype(np.int64).tobytes() for x in np.split(total[inv], ends)]
-        n = t.num_rows
-        return pa.table({
-            "chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int64()),
-            "part": pa.array([t.column("part")[0].as_py()] * (n + 1), pa.int32()),
-            "counts": pa.array([*back, packed(sums)], pa.binary()),
-        })
-
-    return group_arrow(words.groupBy("part"), run, "chunk long, part int, counts binary")
+    def run(batches):
+        for b in batches:
+            for chunk, cell in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                _, words, inv, lens, learn = _load(cell)
+                doc = np.repeat(np.arange(len(lens)), lens)
+                train = learn[doc]
+                count = np.bincount(inv[train], minlength=len(words))
+                pair, u, w = _pairs(doc, inv, words)
+                of_pair = np.bincount(pair[train], minlength=len(u))
+                out = [(1, chunk, p, _dump(words[c], count[c])) for p, c in _cuts(words, buckets)]
+                for p, c in _cuts(words[u], buckets):
+                    first, n = np.unique(u[c], return_counts=True)
+                    out.append((2, chunk, p, _dump(words[first], n.astype(np.int32), words[w[c]], np.minimum(of_pair[c], 2**31 - 1).astype(np.int32))))
+                yield from _rows(*out).to_batches()
+
+    return run
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """Of one range: counts of words for each chunk (kind 1) and sums (kind 4); the restaurants (kind 2) and each chunk's pairs in them (kind 3)."""
+    part = t.column("part")[0].as_py()
+    asked = list(zip(t.column("kind").to_pylist(), t.column("chunk").to_pylist(), map(_load, t.column("cell").to_pylist())))
+    out: list[tuple] = []
+    own = [(chunk, x) for kind, chunk, x in asked if kind == 1]
+    if own:
+        words, inv = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
+        total = np.bincount(inv, weights=np.concatenate([x[1] for _, x in own])).astype(np.int64)
+        for (chunk, _), i in zip(own, np.split(inv, np.cumsum([len(x[0]) for _, x in own])[:-1])):
+            out.append((1, chunk, part, _dump(total[i])))
+        out.append((4, -1, part, _dump(int(total.sum()), int((total > 0).sum()))))
+    own = [(chunk, x) for kind, chunk, x in asked if kind == 2]
+    if own:
+        u = np.concatenate([np.repeat(x[0], x[1]) for _, x in own])
+        w = np.concatenate([x[2] for _, x in own])
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+        place = np.empty(len(u), np.int64)
+        place[order] = np.cumsum(new) - 1
+        c = np.bincount(place, weights=np.concatenate([x[3] for _, x in own])).astype(np.int64)
+        words, dish = np.unique(w[new], return_inverse=True)
+        rest = np.cumsum(np.append(True, u[new][1:] != u[new][:-1])) - 1
+        out.append((2, -1, part, _dump(rest.astype(np.int32), dish.astype(np.int32), c, words)))
+        for (chunk, _), i in zip(own, np.split(place, np.cumsum([len(x[2]) for _, x in own])[:-1])):
+            out.append((3, chunk, part, _dump(np.diff(i, prepend=0).astype(np.int32))))
+    return _rows(*out)
+
+
+# ---------------------------------------------------------------- seating
+
+
+def stirling(n: int, d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: [customers, tables], each up to n."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[0, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(n):
+            t = np.arange(1, n + 1)
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + np.log(np.maximum(c - d * t, 0)))
+    return out
 
 
 def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -136,56 +189,81 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.
     return tables
 
 
-def choose(halves: np.ndarray) -> tuple[float, float]:
-    """(discount, strength) of the context restaurants under which each half of the counts best foretells the other.
+def redraw(count: np.ndarray, others: np.ndarray, p0: np.ndarray, discount: float, strength: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish given the tables of all other dishes of its restaurant.
 
-    One table a dish stands in for the seating here.
-    """
-    best = (-np.inf, DISCOUNTS[0], STRENGTHS[0])
-    for d in DISCOUNTS:
-        for s in STRENGTHS:
-            gain = 0.0
-            for a, b in (halves, halves[::-1]):
-                up = np.count_nonzero(a, axis=0)
-                p0 = (up + 1) / (up.sum() + len(up))
-                n, opened = a.sum(axis=1), np.count_nonzero(a, axis=1)
-                u, w = np.nonzero(b)
-                p = (np.maximum(a[u, w] - d, 0) + (s + d * opened[u]) * p0[w]) / (s + n[u])
-                gain += float((b[u, w] * np.log(p)).sum())
-            best = max(best, (gain, d, s))
-    return best[1:]
-
-
-def predictive(pairs: np.ndarray, discount: float = 0.5, strength: float = 1.0, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
-    """Averaged predictive probabilities [context, dish] from counts [context, dish].
-
-    Each sweep reseats the customers of all context restaurants given the parent's
-    predictive probabilities and the other tables, sends one customer to the parent for each
-    table, and reseats the parent.
+    With T other tables, t tables of c customers have weight S(c, t) * p0**t * prod of
+    (s + d*(T + j)) for j < t, S being a generalised Stirling number.
     """
-    rng = np.random.default_rng(seed)
-    m, k = pairs.shape
-    (d0, s0), (d1, s1) = PARENT, (discount, strength)
-    total = pairs.sum(axis=1)
-    u, w = np.nonzero(pairs)
-    c = pairs[u, w]
-    t = np.ones(len(c), np.int64)
-    up = np.bincount(w, minlength=k)
-    top = np.minimum(up, 1)
-    out = np.zeros((m, k))
-    for sweep in range(burn_in + samples):
-        p0 = (up - d0 * top + (s0 + d0 * top.sum()) / k) / (s0 + up.sum())
-        opened = np.bincount(u, weights=t, minlength=m)
-        t = seat(c, (s1 + d1 * opened[u]) * p0[w], d1, rng)
-        up = np.bincount(w, weights=t, minlength=k).astype(np.int64)
-        top = seat(up, np.full(k, (s0 + d0 * top.sum()) / k), d0, rng)
-        if sweep >= burn_in:
-            p0 = (up - d0 * top + (s0 + d0 * top.sum()) / k) / (s0 + up.sum())
-            opened = np.bincount(u, weights=t, minlength=m)
-            p = (s1 + d1 * opened)[:, None] * p0[None, :]
-            p[u, w] += c - d1 * t
-            out += p / (s1 + total)[:, None]
-    return out / samples
+    out = np.minimum(count, 1)
+    for c in range(2, EXACT + 1):
+        at = np.flatnonzero(count == c)
+        for own in np.array_split(at, len(at) * c // 2_000_000 + 1):
+            t = np.arange(c)
+            w = np.cumsum(np.log(strength + discount * (others[own][:, None] + t)) + np.log(p0[own])[:, None], axis=1) + table[c, 1 : c + 1]
+            out[own] = np.argmax(w + rng.gumbel(size=w.shape), axis=1) + 1
+    many = np.flatnonzero(count > EXACT)
+    out[many] = seat(count[many], (strength + discount * others[many]) * p0[many], discount, rng)
+    return out
+
+
+def sweep(rest: np.ndarray, count: np.ndarray, tables: np.ndarray, p0: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """One Gibbs sweep over dishes of restaurants (``rest``, sorted): their new numbers of tables."""
+    tables = tables.copy()
+    total = np.bincount(rest, weights=tables).astype(np.int64)
+    many = np.flatnonzero(count > 1)
+    many = many[np.lexsort((rng.random(len(many)), rest[many]))]
+    place = np.arange(len(many)) - np.searchsorted(rest[many], rest[many])
+    level = np.log2(place + 1).astype(np.int64)
+    table = stirling(EXACT, discount)
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = many[level == k]
+        now = redraw(count[own], total[rest[own]] - tables[own], p0[own], discount, strength, table, rng)
+        total += np.bincount(rest[own], weights=now - tables[own], minlength=len(total)).astype(np.int64)
+        tables[own] = now
+    return tables
+
+
+def predictive(rest: np.ndarray, count: np.ndarray, tables: np.ndarray, p0: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Probability of each dish of each restaurant; dishes without customers are those asked for only."""
+    total, opened = (np.bincount(rest, weights=x)[rest] for x in (count, tables))
+    return (np.maximum(count - discount * tables, 0) + (strength + discount * opened) * p0) / (strength + total)
+
+
+def _gains(rest: np.ndarray, count: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    """For each discount and strength tried, the log probability of all customers, each left out in turn; one table a dish."""
+    total, opened = (np.bincount(rest, weights=x)[rest] for x in (count, count > 0))
+    live = count > 0
+    c, n, t, p = count[live], total[live], opened[live], p0[live]
+    t = t - (c == 1)
+    return np.array([[(c * np.log((np.maximum(c - 1 - d, 0) + (s + d * t) * p) / (s + n - 1))).sum() for s in STRENGTHS] for d in DISCOUNTS])
+
+
+# ---------------------------------------------------------------- sweeps over ranges
+
+
+def _to_parent(part: int, words: np.ndarray, dish: np.ndarray, tables: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of kind 5, range by range: the customers that a task's tables send to the parent. ``chunk`` is the range of the sender."""
+    up = np.bincount(dish, weights=tables, minlength=len(words)).astype(np.int64)
+    return [(5, part, p, _dump(words[c], up[c])) for p, c in _cuts(words, buckets)]
+
+
+def _parent(vocabulary: int, opened: int, seed: int):
+    """Of one range of the parent's words: for each sender the customers less discounts (kind 6), and sums (kind 7). ``opened``: tables of the parent so far."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        own = list(zip(t.column("chunk").to_pylist(), map(_load, t.column("cell").to_pylist())))
+        words, inv = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
+        up = np.bincount(inv, weights=np.concatenate([x[1] for _, x in own])).astype(np.int64)
+        d0, s0 = PARENT
+        rng = np.random.default_rng([seed, part])
+        top = redraw(up, np.maximum(opened - np.minimum(up, 1), 0), np.full(len(up), 1 / (vocabulary + 1)), d0, s0, stirling(EXACT, d0), rng)
+        kept = (up - d0 * top).astype(np.float64)
+        out = [(6, sender, part, _dump(kept[i])) for (sender, _), i in zip(own, np.split(inv, np.cumsum([len(x[0]) for _, x in own])[:-1]))]
+        return _rows(*out, (7, -1, part, _dump(int(up.sum()), int(top.sum()))))
+
+    return run
 
 
 def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
@@ -193,45 +271,121 @@ def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
 
     ``docs``: doc_id, text and a boolean column of the rows to learn from (null: false). A
     null or empty text has one token, its end. Rows that repeat a doc_id are scored each. With
-    nothing to learn from, every probability of a word is that of one unknown word.
+    nothing to learn from, every probability of a word is that of one unknown word. A very
+    long text is a chunk of its own. Other columns are not read, whatever their names. All
+    words unknown to the training share the probability of one unknown word.
+
+    The pairs that begin with one word lie in one task: they are at most as many as there are
+    words.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "languagemodel")
+    buckets = parts(spark, docs)
     own = docs.select("doc_id", F.coalesce(F.col(learn), F.lit(False)).alias("learn"), "text")
-    rows = tmp.write(_chunks(own, parts(spark, docs)), "chunks", "kind")
-    pair = sum_vectors(rows.filter("kind = 2").select(F.col("chunk").cast("int").alias("part"), F.col("part").alias("piece"), F.col("a").alias("cells")), "pairs")
-    halves = np.concatenate([pair[i] for i in range(2 * _BLOCKS)]).reshape(2, CONTEXTS, CLASSES) if pair else np.zeros((2, CONTEXTS, CLASSES), np.int64)
-    counted = tmp.write(_count_words(rows.filter("kind = 1").select("chunk", "part", "a", "b")), "counts")
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        written = tmp.write(df, name, "kind")
+        out = written.select("kind", "chunk", "part", "cell")
+        out._scratch_path = written._scratch_path
+        return out
+
+    chunks = put(_chunks(own), "chunks")
+    state = put(group_arrow(map_arrow(chunks, _ask(buckets), _SCHEMA).groupBy("part"), _gather, _SCHEMA), "state")
+    free_shuffles(spark)
+    sums = [_load(bytes(r.cell)) for r in state.filter("kind = 4").select("cell").collect()]
+    n, v = (sum(x[i] for x in sums) for i in (0, 1))
+    d0, s0 = PARENT
+
+    def first(batches):
+        for b in batches:
+            for part, cell in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                _, dish, c, words = _load(cell)
+                yield from _rows(*_to_parent(part, words, dish, np.minimum(c, 1), buckets)).to_batches()
+
+    rooms = state.filter("kind = 2")
+    sent, opened, how = put(map_arrow(rooms, first, _SCHEMA), "sent"), v, None
+    for k in range(BURN_IN + SAMPLES):
+        parent = put(group_arrow(sent.filter("kind = 5").groupBy("part"), _parent(v, opened, SEED + k), _SCHEMA), f"parent{k}")
+        free_shuffles(spark)
+        tops = [_load(bytes(r.cell)) for r in parent.filter("kind = 7").select("cell").collect()]
+        customers, opened = (sum(x[i] for x in tops) for i in (0, 1))
+        base, below = (s0 + d0 * opened) / (v + 1), s0 + customers
+
+        def read(left: pa.Table, right: pa.Table, base=base, below=below):
+            """(part, restaurants, dishes, counts, words, tables, sums of predictions, p0 of each pair)."""
+            cells = dict(zip(left.column("kind").to_pylist(), left.column("cell").to_pylist()))
+            rest, dish, c, words = _load(cells[2])
+            tables, acc = _load(cells[8]) if 8 in cells else (np.minimum(c, 1), None)
+            order = np.argsort(np.asarray(right.column("part")))
+            got = right.column("cell").to_pylist()
+            kept = np.concatenate([_load(got[i])[0] for i in order])
+            return left.column("part")[0].as_py(), rest, dish, c, words, tables, acc, ((kept + base) / below)[dish]
+
+        # rows of kind 6 go back to their sender
+        back = parent.filter("kind = 6").select("kind", F.col("chunk").cast("int").alias("sender"), "part", "cell")
+        if how is None:
+
+            def gains(left: pa.Table, right: pa.Table) -> pa.Table:
+                if not left.num_rows:
+                    return _rows()
+                part, rest, _, c, _, _, _, p0 = read(left, right)
+                return _rows((9, -1, part, _dump(_gains(rest, c, p0))))
+
+            got = group_arrow(rooms.groupBy("part").cogroup(back.groupBy("sender")), gains, _SCHEMA).select("cell").collect()
+            total = sum((_load(bytes(r.cell))[0] for r in got), np.zeros((len(DISCOUNTS), len(STRENGTHS))))
+            i, j = np.unravel_index(total.argmax(), total.shape)
+            how = (DISCOUNTS[i], STRENGTHS[j])
+
+        def step(left: pa.Table, right: pa.Table, k=k, how=how) -> pa.Table:
+            if not left.num_rows:
+                return _rows()
+            part, rest, dish, c, words, tables, acc, p0 = read(left, right)
+            tables = sweep(rest, c, tables, p0, *how, np.random.default_rng([SEED, k, part]))
+            if k >= BURN_IN:
+                p = predictive(rest, c, tables, p0, *how)
+                acc = (p if acc is None else acc + p).astype(np.float32)
+            more = _to_parent(part, words, dish, tables, buckets) if k + 1 < BURN_IN + SAMPLES else []
+            return _rows((8, -1, part, _dump(tables.astype(np.int32), acc)), *more)
+
+        now = rooms if k == 0 else rooms.unionByName(sent.filter("kind = 8"))
+        before, sent = sent, put(group_arrow(now.groupBy("part").cogroup(back.groupBy("sender")), step, _SCHEMA), f"sweep{k}")
+        tmp.drop(before)
+        tmp.drop(parent)
+        free_shuffles(spark)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The log probabilities of each chunk's pairs of one range."""
+        if not left.num_rows:
+            return _rows()
+        p = np.log10(_load(left.column("cell")[0].as_py())[1] / SAMPLES).astype(np.float32)
+        part = left.column("part")[0].as_py()
+        return _rows(*[(10, chunk, part, _dump(p[np.cumsum(_load(cell)[0])])) for chunk, cell in zip(right.column("chunk").to_pylist(), right.column("cell").to_pylist())])
+
+    final = sent.filter("kind = 8")
+    answers = put(group_arrow(final.groupBy("part").cogroup(state.filter("kind = 3").groupBy("part")), answer, _SCHEMA), "answers")
+    tmp.drop(sent)
     free_shuffles(spark)
-    sums = sum_vectors(counted.filter("chunk = -1").select("part", F.lit(0).alias("piece"), F.col("counts").alias("cells")), "classes").get(0, np.zeros(2 * CLASSES, np.int64))
-    in_class, known = sums[:CLASSES], sums[CLASSES:]
-    n, v = int(in_class.sum()), int(known.sum())
-    shared = spark.sparkContext.broadcast((np.log10(predictive(halves.sum(axis=0), *choose(halves))).astype(np.float32), in_class, known, n, v))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pair_log, in_class, known, n, v = shared.value
-        ids = pa.ipc.open_stream(left.column("a")[0].as_py()).read_all().column("doc_id")
-        doc, inv = np.split(np.frombuffer(left.column("b")[0].as_py(), np.int32), 2)
-        cls = np.frombuffer(left.column("c")[0].as_py(), np.int16).astype(np.int64)
-        order = np.argsort(np.asarray(right.column("part")))
-        got = right.column("counts").to_pylist()
-        c = np.concatenate([np.frombuffer(got[i], np.int64) for i in order])
+        ids, words, inv, lens, _ = _load(left.column("cell")[0].as_py())
+        ids = pa.ipc.open_stream(ids).read_all().column("doc_id")
+        doc = np.repeat(np.arange(len(lens)), lens)
+        rows = sorted(zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("cell").to_pylist()))
+        c, log = (np.concatenate([_load(x)[0] for a, _, x in rows if a == want]) for want in (1, 10))
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        in_own = np.log10((c + ADD) / (in_class[cls] + ADD * (known[cls] + 1)))
-        ctx = _before(cls[inv], doc, int(_class(END))) % CONTEXTS
+        pair, _, _ = _pairs(doc, inv, words)
         k = len(ids)
         return pa.table({
             "doc_id": ids.combine_chunks(),
-            "n_tokens": pa.array(np.bincount(doc, minlength=k)),
+            "n_tokens": pa.array(lens.astype(np.int64)),
             "n_known": pa.array(np.bincount(doc[(c > 0)[inv]], minlength=k)),
             "train_tokens": pa.array(np.full(k, n)),
             "base_score": pa.array(np.bincount(doc, weights=base[inv], minlength=k)),
-            "score": pa.array(np.bincount(doc, weights=in_own[inv] + pair_log[ctx, cls[inv]], minlength=k)),
+            "score": pa.array(np.bincount(doc, weights=log.astype(np.float64)[pair], minlength=k)),
         })
 
-    chunks = rows.filter("kind = 0").select("chunk", "a", "b", "c")
-    back = counted.filter("chunk >= 0")
+    back = state.filter("kind = 1").unionByName(answers)
     return group_arrow(chunks.groupBy("chunk").cogroup(back.groupBy("chunk")), run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

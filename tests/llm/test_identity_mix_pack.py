@@ -244,12 +244,61 @@ def test_base_scores_and_held_out(spark, sf):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_predictive_sums_to_one():
+def set_partitions(n):
+    """Table sizes of every seating of n customers."""
+    if n == 0:
+        yield []
+        return
+    for rest in set_partitions(n - 1):
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+        yield [*rest, 1]
+
+
+def test_tables_follow_their_exact_distribution():
+    d, s, others, p0 = 0.6, 1.5, 7, 0.05
+    for c in (2, 3, 5):
+        weight = defaultdict(float)
+        for tables in set_partitions(c):
+            w = p0 ** len(tables) * math.prod(s + d * (others + j) for j in range(len(tables)))
+            weight[len(tables)] += w * math.prod(k - d for size in tables for k in range(1, size))
+        got = language_model.redraw(np.full(40_000, c), np.full(40_000, others), np.full(40_000, p0), d, s, language_model.stirling(language_model.EXACT, d), np.random.default_rng(c))
+        for t in range(1, c + 1):
+            assert (got == t).mean() == pytest.approx(weight[t] / sum(weight.values()), abs=0.01)
+
+
+def test_sweeps_and_predictions():
     rng = np.random.default_rng(4)
-    pairs = rng.poisson(0.7, (20, 50)) * rng.integers(1, 40, (20, 50))
-    p = language_model.predictive(pairs, 0.4, 3.0)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    assert np.allclose(language_model.predictive(np.zeros((3, 5), int)), 0.2)
+    full = rng.poisson(0.7, (20, 50)) * rng.integers(1, 60, (20, 50))
+    rest, dish = map(np.ravel, np.indices(full.shape))
+    count, p0 = full.ravel(), np.full(1000, 1 / 50)
+    tables = np.minimum(count, 1)
+    for _ in range(3):
+        tables = language_model.sweep(rest, count, tables, p0, 0.4, 3.0, rng)
+        assert ((tables >= np.minimum(count, 1)) & (tables <= count)).all()
+        p = language_model.predictive(rest, count, tables, p0, 0.4, 3.0)
+        assert np.allclose(np.bincount(rest, weights=p), 1) and (p > 0).all()
+    assert tables.sum() > (count > 0).sum()
+
+
+def test_scores_know_pairs_of_words(spark):
+    rng = random.Random(5)
+
+    def text():
+        out = [rng.randrange(156)]
+        while len(out) < 40:
+            out.append((7 * out[-1] + rng.randrange(4)) % 156)
+        return " ".join(f"w{i}" for i in out)
+
+    docs = [(i, text(), True) for i in range(60)]
+    twice = text()
+    docs += [(100, twice, True), (101, twice, True), (102, " ".join(sorted(twice.split())), False), (103, twice, False), (104, "never seen words", False)]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(docs, "doc_id long, text string, learn boolean")).collect()}
+    assert got[103].score == pytest.approx(got[100].score) and got[100].score > got[100].base_score + 5
+    assert got[103].base_score == pytest.approx(got[102].base_score) and got[103].score > got[102].score + 5
+    assert got[104].n_known == 1
+    p = [10 ** got[i].score for i in got]
+    assert all(0 < x < 1 for x in p)
 
 
 def test_seating_has_the_expected_number_of_tables():
