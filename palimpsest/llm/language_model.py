@@ -56,6 +56,15 @@ def _load(b) -> tuple:
     return pickle.loads(pa.Codec("zstd").decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), asbytes=True))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers byte by byte: small numbers are compressed better so."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def _rows(*rows: tuple) -> pa.Table:
     """Rows (kind, chunk, part, cell)."""
     kind, chunk, part, cell = zip(*rows) if rows else ((), (), (), ())
@@ -99,61 +108,61 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 with pa.ipc.new_stream(sink, ids.schema) as w:
                     w.write_batch(ids)
                 lens = np.bincount(doc, minlength=len(offs) - 1).astype(np.int32)
-                yield from _rows((0, (task << 32) | seq, 0, _dump(sink.getvalue().to_pybytes(), words, inv.astype(np.int32), lens, learn[first : first + len(lens)]))).to_batches()
+                yield from _rows((0, (task << 32) | seq, 0, _dump(sink.getvalue().to_pybytes(), words, _planes(inv), lens, learn[first : first + len(lens)]))).to_batches()
                 seq += 1
 
     return map_arrow(docs, run, _SCHEMA)
 
 
 def _ask(buckets: int):
-    """Of each chunk, rows of kind 1 (words of a range, training counts) and kind 2 (pairs whose first word is in a range, training counts)."""
+    """Of each chunk, a row for each range: its words in the range, training counts, the pairs that begin with each, second words and training counts of these."""
 
     def run(batches):
         for b in batches:
             for chunk, cell in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
                 _, words, inv, lens, learn = _load(cell)
+                inv = _numbers(inv)
                 doc = np.repeat(np.arange(len(lens)), lens)
                 train = learn[doc]
                 count = np.bincount(inv[train], minlength=len(words))
                 pair, u, w = _pairs(doc, inv, words)
-                of_pair = np.bincount(pair[train], minlength=len(u))
-                out = [(1, chunk, p, _dump(words[c], count[c])) for p, c in _cuts(words, buckets)]
-                for p, c in _cuts(words[u], buckets):
-                    first, n = np.unique(u[c], return_counts=True)
-                    out.append((2, chunk, p, _dump(words[first], n.astype(np.int32), words[w[c]], np.minimum(of_pair[c], 2**31 - 1).astype(np.int32))))
+                of_pair = np.minimum(np.bincount(pair[train], minlength=len(u)), 2**31 - 1)
+                at = np.searchsorted(u, np.arange(len(words) + 1))  # every word has another or an end after it
+                out = []
+                for p, c in _cuts(words, buckets):
+                    own = slice(at[c.start], at[c.stop])
+                    second, place = np.unique(w[own], return_inverse=True)
+                    out.append((1, chunk, p, _dump(words[c], count[c], np.diff(at[c.start : c.stop + 1]), words[second], _planes(place), _planes(of_pair[own]))))
                 yield from _rows(*out).to_batches()
 
     return run
 
 
-def _gather(t: pa.Table) -> pa.Table:
-    """Of one range: counts of words for each chunk (kind 1) and sums (kind 4); the restaurants (kind 2) and each chunk's pairs in them (kind 3)."""
+def _gather(t: pa.Table, buckets: int) -> pa.Table:
+    """Of one range of first words: counts of words for each chunk (kind 1) and sums (kind 4); the restaurants (kind 2), each chunk's pairs in them (kind 3), their dishes by the parent's ranges (kind 5) and the first customers of the parent (kind 11)."""
     part = t.column("part")[0].as_py()
-    asked = list(zip(t.column("kind").to_pylist(), t.column("chunk").to_pylist(), map(_load, t.column("cell").to_pylist())))
-    out: list[tuple] = []
-    own = [(chunk, x) for kind, chunk, x in asked if kind == 1]
-    if own:
-        words, inv = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
-        total = np.bincount(inv, weights=np.concatenate([x[1] for _, x in own])).astype(np.int64)
-        for (chunk, _), i in zip(own, np.split(inv, np.cumsum([len(x[0]) for _, x in own])[:-1])):
-            out.append((1, chunk, part, _dump(total[i])))
-        out.append((4, -1, part, _dump(int(total.sum()), int((total > 0).sum()))))
-    own = [(chunk, x) for kind, chunk, x in asked if kind == 2]
-    if own:
-        u = np.concatenate([np.repeat(x[0], x[1]) for _, x in own])
-        w = np.concatenate([x[2] for _, x in own])
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        place = np.empty(len(u), np.int64)
-        place[order] = np.cumsum(new) - 1
-        c = np.bincount(place, weights=np.concatenate([x[3] for _, x in own])).astype(np.int64)
-        words, dish = np.unique(w[new], return_inverse=True)
-        rest = np.cumsum(np.append(True, u[new][1:] != u[new][:-1])) - 1
-        out.append((2, -1, part, _dump(rest.astype(np.int32), dish.astype(np.int32), c, words)))
-        for (chunk, _), i in zip(own, np.split(place, np.cumsum([len(x[2]) for _, x in own])[:-1])):
-            out.append((3, chunk, part, _dump(np.diff(i, prepend=0).astype(np.int32))))
+    own = [(chunk, _load(x)) for chunk, x in zip(t.column("chunk").to_pylist(), t.column("cell").to_pylist())]
+    words, inv = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
+    total = np.bincount(inv, weights=np.concatenate([x[1] for _, x in own])).astype(np.int64)
+    out: list[tuple] = [(1, chunk, part, _dump(total[i])) for (chunk, _), i in zip(own, np.split(inv, np.cumsum([len(x[0]) for _, x in own])[:-1]))]
+    out.append((4, -1, part, _dump(int(total.sum()), int((total > 0).sum()))))
+    u = np.concatenate([np.repeat(x[0], x[2]) for _, x in own])
+    w = np.concatenate([x[3][_numbers(x[4])] for _, x in own])
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    place = np.empty(len(u), np.int64)
+    place[order] = np.cumsum(new) - 1
+    c = np.bincount(place, weights=np.concatenate([_numbers(x[5]) for _, x in own])).astype(np.int64)
+    words, dish = np.unique(w[new], return_inverse=True)
+    rest = np.cumsum(np.append(True, u[new][1:] != u[new][:-1])) - 1
+    cuts = _cuts(words, buckets)
+    out.append((2, -1, part, _dump(_planes(np.bincount(rest)), _planes(dish), c, [(p, x.stop - x.start) for p, x in cuts])))
+    out += [(5, part, p, _dump(words[x])) for p, x in cuts]
+    out += _to_parent(part, [(p, x.stop - x.start) for p, x in cuts], dish, np.minimum(c, 1))
+    for (chunk, _), i in zip(own, np.split(place, np.cumsum([x[4].shape[1] for _, x in own])[:-1])):
+        out.append((3, chunk, part, _dump(np.diff(i, prepend=0).astype(np.int32))))
     return _rows(*out)
 
 
@@ -242,10 +251,11 @@ def _gains(rest: np.ndarray, count: np.ndarray, p0: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- sweeps over ranges
 
 
-def _to_parent(part: int, words: np.ndarray, dish: np.ndarray, tables: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of kind 5, range by range: the customers that a task's tables send to the parent. ``chunk`` is the range of the sender."""
-    up = np.bincount(dish, weights=tables, minlength=len(words)).astype(np.int64)
-    return [(5, part, p, _dump(words[c], up[c])) for p, c in _cuts(words, buckets)]
+def _to_parent(part: int, cuts: list[tuple[int, int]], dish: np.ndarray, tables: np.ndarray) -> list[tuple]:
+    """Rows of kind 11, range by range: the customers that a task's tables send to the parent. ``chunk`` is the range of the sender."""
+    up = np.bincount(dish, weights=tables, minlength=sum(n for _, n in cuts)).astype(np.int64)
+    at = np.cumsum([0, *[n for _, n in cuts]])
+    return [(11, part, p, _dump(up[a:b])) for (p, _), a, b in zip(cuts, at, at[1:])]
 
 
 def _parent(vocabulary: int, opened: int, seed: int):
@@ -253,14 +263,15 @@ def _parent(vocabulary: int, opened: int, seed: int):
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        own = list(zip(t.column("chunk").to_pylist(), map(_load, t.column("cell").to_pylist())))
-        words, inv = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
-        up = np.bincount(inv, weights=np.concatenate([x[1] for _, x in own])).astype(np.int64)
+        cells = {(k, s): _load(x)[0] for k, s, x in zip(t.column("kind").to_pylist(), t.column("chunk").to_pylist(), t.column("cell").to_pylist())}
+        own = [(sender, cells[5, sender], cells[11, sender]) for k, sender in sorted(cells) if k == 5]
+        words, inv = np.unique(np.concatenate([x for _, x, _ in own]), return_inverse=True)
+        up = np.bincount(inv, weights=np.concatenate([x for _, _, x in own])).astype(np.int64)
         d0, s0 = PARENT
         rng = np.random.default_rng([seed, part])
         top = redraw(up, np.maximum(opened - np.minimum(up, 1), 0), np.full(len(up), 1 / (vocabulary + 1)), d0, s0, stirling(EXACT, d0), rng)
         kept = (up - d0 * top).astype(np.float64)
-        out = [(6, sender, part, _dump(kept[i])) for (sender, _), i in zip(own, np.split(inv, np.cumsum([len(x[0]) for _, x in own])[:-1]))]
+        out = [(6, sender, part, _dump(kept[i])) for (sender, *_), i in zip(own, np.split(inv, np.cumsum([len(x) for _, x, _ in own])[:-1]))]
         return _rows(*out, (7, -1, part, _dump(int(up.sum()), int(top.sum()))))
 
     return run
@@ -290,36 +301,35 @@ def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
         return out
 
     chunks = put(_chunks(own), "chunks")
-    state = put(group_arrow(map_arrow(chunks, _ask(buckets), _SCHEMA).groupBy("part"), _gather, _SCHEMA), "state")
+    state = put(group_arrow(map_arrow(chunks, _ask(buckets), _SCHEMA).groupBy("part"), lambda t: _gather(t, buckets), _SCHEMA), "state")
     free_shuffles(spark)
     sums = [_load(bytes(r.cell)) for r in state.filter("kind = 4").select("cell").collect()]
     n, v = (sum(x[i] for x in sums) for i in (0, 1))
     d0, s0 = PARENT
 
-    def first(batches):
-        for b in batches:
-            for part, cell in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                _, dish, c, words = _load(cell)
-                yield from _rows(*_to_parent(part, words, dish, np.minimum(c, 1), buckets)).to_batches()
-
-    rooms = state.filter("kind = 2")
-    sent, opened, how = put(map_arrow(rooms, first, _SCHEMA), "sent"), v, None
+    rooms, menu = state.filter("kind = 2"), state.filter("kind = 5")
+    sent, opened, how = state, v, None
     for k in range(BURN_IN + SAMPLES):
-        parent = put(group_arrow(sent.filter("kind = 5").groupBy("part"), _parent(v, opened, SEED + k), _SCHEMA), f"parent{k}")
+        parent = put(group_arrow(menu.unionByName(sent.filter("kind = 11")).groupBy("part"), _parent(v, opened, SEED + k), _SCHEMA), f"parent{k}")
+        if k + 1 == BURN_IN + SAMPLES:
+            for x in (5, 11):
+                tmp.remove(f"{state._scratch_path.rsplit('/', 1)[1]}/kind={x}")
         free_shuffles(spark)
         tops = [_load(bytes(r.cell)) for r in parent.filter("kind = 7").select("cell").collect()]
         customers, opened = (sum(x[i] for x in tops) for i in (0, 1))
         base, below = (s0 + d0 * opened) / (v + 1), s0 + customers
 
         def read(left: pa.Table, right: pa.Table, base=base, below=below):
-            """(part, restaurants, dishes, counts, words, tables, sums of predictions, p0 of each pair)."""
+            """(part, restaurants, dishes, counts, cuts of the dishes, tables, sums of predictions, p0 of each pair)."""
             cells = dict(zip(left.column("kind").to_pylist(), left.column("cell").to_pylist()))
-            rest, dish, c, words = _load(cells[2])
+            rest, dish, c, cuts = _load(cells[2])
+            rest, dish = _numbers(rest), _numbers(dish)
+            rest = np.repeat(np.arange(len(rest)), rest)
             tables, acc = _load(cells[8]) if 8 in cells else (np.minimum(c, 1), None)
             order = np.argsort(np.asarray(right.column("part")))
             got = right.column("cell").to_pylist()
             kept = np.concatenate([_load(got[i])[0] for i in order])
-            return left.column("part")[0].as_py(), rest, dish, c, words, tables, acc, ((kept + base) / below)[dish]
+            return left.column("part")[0].as_py(), rest, dish, c, cuts, tables, acc, ((kept + base) / below)[dish]
 
         # rows of kind 6 go back to their sender
         back = parent.filter("kind = 6").select("kind", F.col("chunk").cast("int").alias("sender"), "part", "cell")
@@ -339,17 +349,18 @@ def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
         def step(left: pa.Table, right: pa.Table, k=k, how=how) -> pa.Table:
             if not left.num_rows:
                 return _rows()
-            part, rest, dish, c, words, tables, acc, p0 = read(left, right)
+            part, rest, dish, c, cuts, tables, acc, p0 = read(left, right)
             tables = sweep(rest, c, tables, p0, *how, np.random.default_rng([SEED, k, part]))
             if k >= BURN_IN:
                 p = predictive(rest, c, tables, p0, *how)
                 acc = (p if acc is None else acc + p).astype(np.float32)
-            more = _to_parent(part, words, dish, tables, buckets) if k + 1 < BURN_IN + SAMPLES else []
+            more = _to_parent(part, cuts, dish, tables) if k + 1 < BURN_IN + SAMPLES else []
             return _rows((8, -1, part, _dump(tables.astype(np.int32), acc)), *more)
 
         now = rooms if k == 0 else rooms.unionByName(sent.filter("kind = 8"))
         before, sent = sent, put(group_arrow(now.groupBy("part").cogroup(back.groupBy("sender")), step, _SCHEMA), f"sweep{k}")
-        tmp.drop(before)
+        if k:
+            tmp.drop(before)
         tmp.drop(parent)
         free_shuffles(spark)
 
@@ -364,11 +375,14 @@ def score(docs: DataFrame, learn: str = "learn") -> DataFrame:
     final = sent.filter("kind = 8")
     answers = put(group_arrow(final.groupBy("part").cogroup(state.filter("kind = 3").groupBy("part")), answer, _SCHEMA), "answers")
     tmp.drop(sent)
+    for k in (2, 3):  # only the counts of words are needed further
+        tmp.remove(f"{state._scratch_path.rsplit('/', 1)[1]}/kind={k}")
     free_shuffles(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, inv, lens, _ = _load(left.column("cell")[0].as_py())
+        inv = _numbers(inv)
         ids = pa.ipc.open_stream(ids).read_all().column("doc_id")
         doc = np.repeat(np.arange(len(lens)), lens)
         rows = sorted(zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("cell").to_pylist()))
