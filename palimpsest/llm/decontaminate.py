@@ -82,8 +82,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     """``docs`` with n_words, hit_spans (array of word ranges [from, to)) and hit_items (sorted names).
 
     Null texts have no words. A benchmark item of fewer than ``size`` words is one window; an
-    item without words never matches. Items repeated under one id count once. An empty
-    benchmark hits nothing. Columns of the same names as the three new ones are replaced.
+    item without words never matches, nor does one with a null id. Items repeated under one
+    id count once. An empty benchmark hits nothing. Columns of the same names as the three new ones are replaced.
     A benchmark above ``block_bytes`` is scanned block by block and the results are joined.
     """
     spark = docs.sparkSession

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .common import held_out, map_arrow, packed, positional, unpacked
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
+MAX_LANGS = 500  # languages at most: bounds the matrix that is broadcast, 393 kB for each
 TRAIN_DOCS_PER_LANG = 4000  # bound of the training sample, for each language
 _SLICE_CHARS = 1 << 20
 _tables: dict = {}
@@ -103,10 +104,13 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> tupl
     """(languages, log priors, log probabilities [feature, language]) from rows of doc_id, text, lang.
 
     At most about ``docs_per_lang`` rows of each language are used, chosen by a hash of doc_id;
-    priors count all labelled rows. Rows with a null lang or text teach nothing.
+    priors count all labelled rows. Rows with a null lang or text teach nothing. More than
+    ``MAX_LANGS`` languages are refused.
     """
     ok = labelled.filter(F.col("lang").isNotNull())
-    sizes = {r[0]: r[1] for r in ok.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in ok.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros(0), np.zeros((len(ORDERS) << BITS, 0), np.float32)

@@ -295,7 +295,10 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, frequent: float | None
     words the whole sequence is one token; without words it has none and is linked with
     nothing (its component is its own id). component_id is the least doc_id of the documents
     reached by links of Jaccard similarity ``percent``/100 at least. Texts with one set are
-    one node. Rows that repeat a doc_id get each their own text's component. Rows with a null
+    one node; sets are told apart by 57 bits of a hash over their n-grams, so that two different
+    ones are taken as one with a chance of about (number of sets)**2 / 2**58. Very long texts
+    are hashed whole; of ``docs`` only doc_id and text are read, whatever other columns are
+    called. Rows that repeat a doc_id get each their own text's component. Rows with a null
     doc_id take part; a component of such rows only has a null id.
 
     Sets that share a signature form a star around the one with the most tokens in common

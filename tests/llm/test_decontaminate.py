@@ -60,11 +60,12 @@ DOCS = [
     (None, "caf\u00e9 TEST one", None, None, None),
 ]
 ITEMS = [(10, "one two three four five six seven eight nine ten"), (11, "short item"), (12, "item here"), (13, None), (14, " ,;"), (15, "caf\u00e9 test"), (11, "short item")]
+NULL_ITEM = [(None, "one two three four five six seven eight")]
 
 
 def test_edges_and_blocks(spark):
     docs = spark.createDataFrame(DOCS, SCHEMA).withColumn("n_words", F.lit("clash"))
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("hit_items", F.lit(1))
+    bench = spark.createDataFrame(ITEMS + NULL_ITEM, "item_id long, text string").withColumn("hit_items", F.lit(1))
     want = brute_force([(r[0], r[1]) for r in DOCS], ITEMS)
     assert digest(dc.contamination(docs, bench)) == want
     s = dc.scan(docs.select("doc_id", "text"), bench, block_bytes=20)

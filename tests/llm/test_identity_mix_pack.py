@@ -88,6 +88,28 @@ def test_language_edges(odd):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_against_plain_bayes(spark):
+    """Scores of the hashed counts against dictionaries of n-grams (few enough that none share a bucket)."""
+    teach = [("the cat sat", "x"), ("a cat ran", "x"), ("le chat noir", "y"), ("un chat", "y"), ("le rat", "y")]
+    ask = ["the rat", "chat cat", "zzz", "le"]
+
+    def grams(t):
+        t = f" {t} "
+        return Counter((n, t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n].strip())
+
+    count = {g: sum((grams(t) for t, own in teach if own == g), Counter()) for g in "xy"}
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(teach)], "doc_id long, text string, lang string")
+    got = {r.text: r for r in language_id.identify(spark.createDataFrame([(t,) for t in ask], "text string"), language_id.train(df)).collect()}
+    width = 1 << language_id.BITS
+    for t in ask:
+        s = {}
+        for g in "xy":
+            of = {n: sum(c for (m, _), c in count[g].items() if m == n) + language_id.ALPHA * width for n in (1, 2, 3)}
+            s[g] = math.log(sum(own == g for _, own in teach) / len(teach)) + sum(c * math.log((count[g][k] + language_id.ALPHA) / of[k[0]]) for k, c in grams(t).items())
+        best = max(s, key=s.get)
+        assert got[t].lang_pred == best and got[t].lang_score == pytest.approx(1 / sum(math.exp(x - s[best]) for x in s.values()), rel=1e-4)
+
+
 def test_ngrams_do_not_depend_on_neighbours():
     def per_text(texts):
         grams, has = language_id._ngrams(texts)

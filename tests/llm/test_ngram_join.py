@@ -29,7 +29,7 @@ def brute_force(docs, n, percent):
     for i, (_, s) in enumerate(sets):
         for x in s:
             where.setdefault(x, []).append(i)
-    pairs = {(i, j) for m in where.values() if len(m) < 3000 for a, i in enumerate(m) for j in m[a + 1 :]}
+    pairs = {(i, j) for m in where.values() for a, i in enumerate(m) for j in m[a + 1 :]}
     for i, j in pairs:
         a, b = sets[i][1], sets[j][1]
         k = len(a & b)
