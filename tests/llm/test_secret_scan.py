@@ -18,7 +18,7 @@ def test_held_out_accuracy(spark):
     assert n > 500 and right / n > 0.97
 
 
-#: Secrets and others that the generator of labelled findings does not make.
+#: Secrets and others whose values the generator of labelled findings does not make, though some are of its kinds.
 OTHERS = [
     ("password=Tr0ub4dor3 for it", True),
     ("the PASSWORD: P@ssw0rd!2024 is old", True),
@@ -33,7 +33,7 @@ OTHERS = [
 ]
 
 
-def test_kinds_not_trained_on(spark, sf):
+def test_values_not_trained_on(spark, sf):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OTHERS)], "doc_id long, text string")
     plain = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("length(text) < 2000 AND NOT text RLIKE '[0-9]{6}'").limit(100).withColumn("doc_id", F.col("doc_id") + 1000)
     got = {r.doc_id for r in scan(docs.unionByName(plain)).filter("secret").collect()}
