@@ -8,12 +8,12 @@ from .decontaminate import OP6_SQL, op6_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op10_language_id
 from .language_model import op4_language_model
-from .line_dedup import op2_line_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op8_packing
 from .secret_scan import op5_secret_scan
-from .suffix_dedup import op1_suffix_dedup
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 
 
 def queries() -> dict:
@@ -33,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}

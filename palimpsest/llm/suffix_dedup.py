@@ -317,3 +317,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, with_ke
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, i, sha256(x[i : i + 399]) AS h FROM d, unnest(range(1, n - 398)) AS t(i)),
+r AS (SELECT doc_id, i FROM s JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY doc_id, k),
+k AS (SELECT doc_id, n, x, coalesce(lag(z) OVER w, 1) AS a, p.a AS z FROM d JOIN p USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY p.a)),
+e AS (SELECT doc_id, a AS pos, x[a : z - 1] AS piece FROM k UNION ALL SELECT doc_id, max(z), any_value(x)[max(z) : any_value(n)] FROM d JOIN p USING (doc_id) GROUP BY doc_id),
+j AS (SELECT doc_id, sha256(unhex(string_agg(hex(piece), '' ORDER BY pos))) AS sha FROM e GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(x)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
+"""
