@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, map_arrow, positional, prefix_hash, range_hash, shingle_hashes, text_slices, word_spans
+from .common import LOWER_TABLE, Scratch, map_arrow, positional, prefix_hash, range_hash, shingle_hashes, text_slices, word_spans
 
 WINDOW, MIN_ITEMS = 8, 2
 BLOCK_BYTES = 16 << 20  # benchmark text broadcast at once; a larger benchmark is scanned in several blocks
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     Null texts have no words. A benchmark item of fewer than ``size`` words is one window; an
     item without words never matches, nor does one with a null id. Items repeated under one
     id count once. An empty benchmark hits nothing. Columns of the same names as the three new ones are replaced.
-    A benchmark above ``block_bytes`` is scanned block by block and the results are joined.
+    A benchmark above ``block_bytes`` is scanned block by block, each block's result written before the next.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL")
@@ -94,13 +94,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     if blocks == 1:
         return _scan_block(keep, bench.collect(), size)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = None
+    out, tmp = None, Scratch(spark, "decontaminate")
     for b in range(blocks):
         rows = bench.filter(block == b).collect()
         prev = out
         out = _scan_block(keep if prev is None else prev.withColumnsRenamed({"n_words": "_nw", "hit_spans": "_hs", "hit_items": "_hi"}), rows, size)
         if prev is not None:
             out = out.withColumn("hit_spans", F.array_union("_hs", "hit_spans")).withColumn("hit_items", F.array_sort(F.array_union("_hi", "hit_items"))).drop("_nw", "_hs", "_hi")
+        if b < blocks - 1:  # one block's windows in memory at a time
+            out, done = tmp.write(out, "block"), prev
+            if done is not None:
+                tmp.drop(done)
     return out
 
 
