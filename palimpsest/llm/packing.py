@@ -21,7 +21,7 @@ from .common import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free id of that vocabulary: ends every document and fills rows
-ROW, PACK_TOKENS, CACHE = 2048, 4_000_000, 200_000
+ROW, PACK_TOKENS = 2048, 4_000_000
 
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,16 +30,10 @@ SCHEMA = "row_id long, n_tokens int, ids binary, cu_seqlens array<int>, position
 
 #: White space (Unicode's) in a row that the pattern's look-ahead must not walk through: it would take a stack frame for each.
 BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
-KEPT_WORD = 64  # characters of a word whose encoding is kept
 
 
-class Tokens(dict):
-    """Text -> little-endian 32-bit ids, with the encodings of frequent words kept.
-
-    The pattern never joins a word with the blank that follows it, so a text whose blanks
-    all follow a non-blank is encoded word by word (each with its leading blank) with the
-    same result as in one piece. Other texts are encoded in one piece.
-    """
+class Tokens:
+    """Text -> ids. Each text is encoded in one call: keeping the encodings of words costs more than the encoder does."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
@@ -47,30 +41,20 @@ class Tokens(dict):
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r"\s |^ ")
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self.whole(" " + word)
-        if len(word) <= KEPT_WORD:
-            self[word] = out
-        return out
 
     def whole(self, text: str) -> bytes:
-        """Ids of a text. A long run of white space is one token of the pattern, but for its last character where a word follows."""
+        """Little-endian 32-bit ids of a text. A long run of white space is one token of the pattern, but for its last character where a word follows."""
         out, last = [], 0
         for run in BLANKS.finditer(text):
             end = run.end() - (run.end() < len(text))
-            out += [*self.enc.encode_ordinary(text[last : run.start()]), *self.enc._core_bpe.encode_single_piece(text[run.start() : end].encode())]
+            out += self.enc.encode_ordinary(text[last : run.start()])
+            out += self.enc._core_bpe.encode_single_piece(text[run.start() : end].encode())
             last = end
-        return np.asarray([*out, *self.enc.encode_ordinary(text[last:])], np.uint32).tobytes()
+        out += self.enc.encode_ordinary(text[last:] if last else text)
+        return np.asarray(out, np.uint32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if self.odd.search(text):
-            return np.frombuffer(self.whole(text), np.uint32)
-        first, *rest = text.split(" ")
-        return np.frombuffer(self.whole(first) + b"".join(map(self.__getitem__, rest)), np.uint32)
+        return np.frombuffer(self.whole(text), np.uint32)
 
 
 class Capacities:

@@ -228,6 +228,29 @@ def test_round_trip(spark, sf, odd):
     assert sum(len(r.doc_ids) for r in packing.pack(odd).collect()) >= len(ODD)
 
 
+def test_a_text_is_encoded_in_one_call():
+    tok = packing.Tokens(packing.VOCABULARY)
+    rng = random.Random(11)
+    pieces = [" ", " ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2028", "\x1c", "a", "the", "'s", "I'll", "é", "日本", "12", "!", "..."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(500)]
+    texts.append(" ".join(f"word{i} of, it.\nThen" for i in range(1000)))
+    want = [tok.enc.encode_ordinary(t) for t in texts]
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, enc):
+            self._core_bpe, self.plain = enc._core_bpe, enc.encode_ordinary
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.plain(text)
+
+    tok.enc = Counted(tok.enc)
+    assert [tok.encode(t).tolist() for t in texts] == want
+    assert tok.enc.calls == len(texts)
+
+
 def test_long_runs_and_other_ids(spark, monkeypatch):
     tok = packing.Tokens(packing.VOCABULARY)
     monkeypatch.setattr(packing, "BLANKS", re.compile(packing.BLANKS.pattern.replace("10000", "3")))
